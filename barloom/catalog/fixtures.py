@@ -59,10 +59,10 @@ def dirty(spark, sf) -> DataFrame:
         "symbol", F.when(n % 31 == 0, F.col("ts") + F.expr("INTERVAL 7 MINUTES")).otherwise(F.col("ts")).alias("ts"),
         F.when(n % 29 == 0, -1.0).otherwise(F.col("open")).alias("open"),
         F.when(n % 23 == 0, F.col("low") - 1).otherwise(F.col("high")).alias("high"),
-        "low", "close", "tick_volume", F.lit(0).alias("copy"))
-    same = b.filter(n % 17 == 0).select("symbol", "ts", "open", "high", "low", "close", "tick_volume", F.lit(1).alias("copy"))
+        "low", "close", "tick_volume", F.lit(0).alias("copy"), (n * 10).alias("seq"))
+    same = b.filter(n % 17 == 0).select("symbol", "ts", "open", "high", "low", "close", "tick_volume", F.lit(1).alias("copy"), (n * 10 + 1).alias("seq"))
     other = b.filter(n % 19 == 0).select("symbol", "ts", "open", "high", "low", (F.col("close") + 1).alias("close"),
-                                         "tick_volume", F.lit(2).alias("copy"))
+                                         "tick_volume", F.lit(2).alias("copy"), (n * 10 + 2).alias("seq"))
     return base.unionByName(same).unionByName(other)
 
 
@@ -116,9 +116,9 @@ def indexed_sql(step: int = H1) -> str:
 DIRTY = f"""{bars_sql()}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM b), dirty AS (
  SELECT symbol, CASE WHEN n % 31 = 0 THEN ts + INTERVAL 7 MINUTE ELSE ts END AS ts,
         CASE WHEN n % 29 = 0 THEN -1.0 ELSE open END AS open, CASE WHEN n % 23 = 0 THEN low - 1 ELSE high END AS high,
-        low, close, tick_volume, 0 AS copy FROM n
- UNION ALL SELECT symbol, ts, open, high, low, close, tick_volume, 1 FROM n WHERE n % 17 = 0
- UNION ALL SELECT symbol, ts, open, high, low, close + 1, tick_volume, 2 FROM n WHERE n % 19 = 0)"""
+        low, close, tick_volume, 0 AS copy, n * 10 AS seq FROM n
+ UNION ALL SELECT symbol, ts, open, high, low, close, tick_volume, 1, n * 10 + 1 FROM n WHERE n % 17 = 0
+ UNION ALL SELECT symbol, ts, open, high, low, close + 1, tick_volume, 2, n * 10 + 2 FROM n WHERE n % 19 = 0)"""
 
 TRADES = """t AS (
  SELECT concat_ws('-', cast(l_orderkey AS varchar), cast(l_linenumber AS varchar), cast(l_partkey AS varchar),

@@ -98,16 +98,18 @@ def candle_shape(reference, o="open", h="high", l="low", c="close") -> dict[str,
     }
 
 
-def trade_costs(*, point: float, contract: float = 1.0, spread_mode: str = "BAR", fixed_spread: float = 0.0,
-                bar_spread="spread", quantity="quantity", commission_mode: str = "NONE",
-                commission: float = 0.0, slippage: float = 0.0) -> dict[str, Column]:
-    """Cash parts of one round trip; prices per unit times quantity times contract."""
-    q = _c(quantity) * contract
-    spread = {"ZERO": F.lit(0.0), "FIXED": F.lit(float(fixed_spread)) * point,
-              "BAR": F.coalesce(_c(bar_spread), F.lit(0.0)) * point}[spread_mode]
-    fee = {"NONE": F.lit(0.0), "PER_TRADE": F.lit(float(commission)),
-           "PER_LOT_SIDE": F.lit(float(commission)) * _c(quantity) * 2}[commission_mode]
-    return {"spread_cost": spread * q, "commission_cost": fee, "slippage_cost": F.lit(float(slippage)) * point * q}
+def spread_distance(mode: str = "BAR", *, fixed: float = 0.0, bar_spread="spread", point: float = 1.0) -> Column:
+    """Price distance between bid and ask: ZERO, FIXED price, or BAR points times point size."""
+    return {"ZERO": F.lit(0.0), "FIXED": F.lit(float(fixed)),
+            "BAR": F.greatest(F.lit(0.0), _c(bar_spread).cast("double")) * point}[mode]
+
+
+def trade_costs(spread: Column, quantity="quantity", *, commission_mode: str = "ZERO", commission: float = 0.0,
+                slippage: float = 0.0) -> dict[str, Column]:
+    """Cash costs of one trade: spread and slippage scale with quantity, commission by mode."""
+    q = _c(quantity)
+    fee = {"ZERO": F.lit(0.0), "PER_TRADE": F.lit(float(commission)), "PER_LOT_SIDE": F.lit(float(commission)) * q * 2}[commission_mode]
+    return {"spread_cost": spread * q, "commission_cost": fee, "slippage_cost": F.lit(float(slippage)) * q}
 
 
 def posterior_scores(p: Column) -> dict[str, Column]:
