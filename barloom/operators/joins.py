@@ -153,14 +153,18 @@ def first_hit(queries: DataFrame, tree: list[DataFrame], start: str, cond: Calla
     """
     first = lambda items, ok: F.array_min(F.transform(F.filter(items, ok), lambda x: x["id"]))
     d = queries
+    # misses get distinct negative keys: one shared null key would skew the join
+    spread = -1 - F.pmod(F.xxhash64(start), F.lit(4096))
+
     def look(d, level, parent, ok, out):
+        parent = F.coalesce(parent, spread)
         t = tree[level].select(key, C("parent").alias("_parent"), C("items").alias("_items"))
         return (d.withColumn("_parent", parent).join(t, [key, "_parent"], "left")
                 .withColumn(out, first(C("_items"), ok)).drop("_parent", "_items"))
     for k in range(len(tree)):
         at = F.floor(C(start) / F.lit(FAN ** k)).cast("long")
         later = (lambda x: x["id"] >= at) if k == 0 else (lambda x: x["id"] > at)
-        # rows resolved on a lower level get a null parent and cost no lookup
+        # rows resolved on a lower level look up nothing
         parent = F.floor(C(start) / F.lit(FAN ** (k + 1))).cast("long")
         done = F.lit(False)
         for j in range(k):

@@ -155,20 +155,18 @@ def islands(df: DataFrame, same_as_prev: Column, name: str = "run", **kw) -> Dat
     return running(df, {name: ("sum", F.when(same_as_prev, 0).otherwise(1).cast("long"))}, **kw)
 
 
-def number_rows(df: DataFrame, order: Sequence[str], bucket: Column, name: str = "idx",
-                by: Sequence[str] = ()) -> DataFrame:
-    """0-based global row number in ``order``; ``bucket`` must be monotone in it.
+def number_rows(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:
+    """0-based row number in a total ``order``, for any skew.
 
-    Rows are ranked inside a bucket and shifted by the count of earlier buckets, so
-    no single task orders the whole table.  Buckets must be finer than the data skew;
-    hash-free buckets such as days or price steps do.
+    Rows are range-partitioned on the whole order and staged with their partition id, so
+    partitions stay balanced even if one day holds a third of the rows.  The number is the
+    rank inside the partition plus the sizes of the earlier ones (one row each).
     """
-    by = list(by)
-    df = df.withColumn("_b", bucket)
-    before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1) if by else \
-        W.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (df.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
-               .select(*by, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o")))
-    inner = W.partitionBy(*by, "_b").orderBy(*order)
-    return (df.withColumn("_r", F.row_number().over(inner)).join(offsets, [*by, "_b"])
-            .withColumn(name, (F.col("_o") + F.col("_r") - 1).cast("long")).drop("_b", "_r", "_o"))
+    from barloom.sources.stage import stage
+    parts = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (parts.groupBy("_part").agg(F.count("*").alias("_c"))
+               .select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o")))
+    rank = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return (parts.withColumn("_r", rank).join(offsets, "_part")
+            .withColumn(name, (F.col("_o") + F.col("_r") - 1).cast("long")).drop("_part", "_r", "_o"))

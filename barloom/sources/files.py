@@ -147,7 +147,7 @@ def warmup_tail(indexed: DataFrame, n: int, keys: Sequence[str] = ("symbol",)) -
 def write_event_view(events: DataFrame, path: str, predictors: Sequence[str]) -> DataFrame:
     """Compact zstd table for rule evaluation: identity, reference and predictors, never targets.
 
-    The row index is the rank in time order, computed by day buckets.
+    The row index is the rank in time order.
     """
     from barloom.operators.timeline import number_rows
     from barloom.plans.event_table import EVENT_ORDER
@@ -156,7 +156,7 @@ def write_event_view(events: DataFrame, path: str, predictors: Sequence[str]) ->
     base = ["meta.symbol", "meta.evidence_end_utc", "meta.reference_price", "x.anchor_kind", "x.geometry.family_id",
             "x.geometry.level_id", "meta.level_price"]
     order = ["`meta.evidence_end_utc`", *[f"`{c}`" for c in EVENT_ORDER if c != "meta.evidence_end_utc"]]
-    n = number_rows(events, order, F.to_date("`meta.evidence_end_utc`"), "row_index")
+    n = number_rows(events, order, "row_index")
     view = n.select("row_index", *[C(f"`{c}`") for c in dict.fromkeys([*base, *predictors])])
     (view.repartitionByRange("row_index").sortWithinPartitions("row_index").write.mode("overwrite")
      .option("compression", "zstd").parquet(path))
