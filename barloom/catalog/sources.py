@@ -10,7 +10,7 @@ C = F.col
 
 
 def register(cat):
-    @cat.add("a02_parse_ts", f"SELECT event_id, {ep('ts')} AS iso, CAST(floor(epoch_ms(ts) / 1000) AS BIGINT) AS ms, {ep('ts')} + 5 * 3600 AS ny FROM events")
+    @cat.add("a02_parse_ts", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS iso, epoch_us(ts) // 1000000 AS ms, CAST(floor(epoch(ts)) AS BIGINT) + 5 * 3600 AS ny FROM events")
     def _(s, sf):
         e = s.read.parquet(f"{sf}/events.parquet").select("event_id", C("ts").cast("timestamp").alias("ts"))
         iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
