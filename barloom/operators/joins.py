@@ -139,7 +139,7 @@ def extreme_tree(bars: DataFrame, key: str = "symbol") -> list[DataFrame]:
             return levels
         top //= FAN
         node = packed.select(key, C("parent").alias("id"), *[
-            f(F.transform("items", lambda x, c=c: x[c])).alias(c) for c, f in
+            f(C(f"items.{c}")).alias(c) for c, f in
             (("low", F.array_min), ("high", F.array_max), ("ask_low", F.array_min), ("ask_high", F.array_max))])
 
 
@@ -186,26 +186,29 @@ def exposed(candidates: DataFrame, exposure: DataFrame, keys: Sequence[str]) ->
 
 
 def near_duplicates(leaves: DataFrame, max_diff: int = 2, family: str = "family", spec: str = "spec_id") -> DataFrame:
-    """Specs of one family that differ in at most ``max_diff`` leaves (path, value).
+    """Distinct specs of one family that differ in one to ``max_diff`` (1 or 2) leaves.
 
-    A pair with at most k differences agrees outside k paths, so it shares the digest of
-    the rest for one choice of at most k paths masked; digests meet by equality.  Equal
-    specs are grouped first, so a pile of copies costs one row.
+    A leaf differs when its value differs or one side lacks it.  Such a pair is equal once
+    at most ``max_diff`` leaves are masked on each side, so masked digests meet by equality
+    and the exact count is tested after.  Copies of a spec are one row with their number.
     """
     kv = F.struct("path", "value")
     whole = leaves.groupBy(family, spec).agg(F.array_sort(F.collect_list(kv)).alias("kv"))
-    groups = (whole.groupBy(family, "kv").agg(F.min(spec).alias("rep"), F.count("*").alias("copies")))
-    masked = lambda drop: F.sha2(F.to_json(F.transform("kv", lambda x: F.when(~F.array_contains(drop, x["path"]), x))), 256)
-    paths = groups.withColumn("paths", F.transform("kv", lambda x: x["path"]))
-    combos = F.concat(F.transform("paths", lambda p: F.array(p)), F.flatten(F.transform(
-        "paths", lambda p: F.transform(F.filter("paths", lambda q: q > p), lambda q: F.array(p, q)))) if max_diff >= 2 else F.array())
-    keyed = (paths.withColumn("_drop", F.explode(combos)).withColumn("mask", masked(C("_drop")))
-             .select(family, "rep", "kv", "copies", "mask", F.array_join("_drop", "|").alias("dropped")))
-    l = keyed.select(family, "mask", "dropped", C("rep").alias("a"), C("kv").alias("a_kv"), C("copies").alias("a_n"))
-    r = keyed.select(family, "mask", "dropped", C("rep").alias("b"), C("kv").alias("b_kv"), C("copies").alias("b_n"))
-    pairs = l.join(r, [family, "mask", "dropped"]).filter("a < b").dropDuplicates([family, "a", "b"])
-    diff = F.size(F.array_except("a_kv", "b_kv"))
-    return pairs.select(family, "a", "b", diff.alias("differing"), "a_n", "b_n")
+    groups = whole.groupBy(family, "kv").agg(F.min(spec).alias("rep"), F.count("*").alias("copies"))
+    paths = F.transform("kv", lambda x: x["path"])
+    none = F.array(F.array().cast("array<string>"))
+    one = F.transform(paths, lambda p: F.array(p))
+    two = F.flatten(F.transform(paths, lambda p: F.transform(F.filter(paths, lambda q: q > p), lambda q: F.array(p, q))))
+    combos = F.concat(none, one, two) if max_diff >= 2 else F.concat(none, one)
+    keyed = groups.withColumn("_drop", F.explode(combos))
+    rest = F.filter("kv", lambda x: ~F.array_contains(C("_drop"), x["path"]))
+    keyed = keyed.select(family, "rep", "kv", "copies", F.sha2(F.to_json(rest), 256).alias("mask"))
+    side = lambda s: keyed.select(family, "mask", C("rep").alias(s), C("kv").alias(f"{s}_kv"), C("copies").alias(f"{s}_n"))
+    pairs = side("a").join(side("b"), [family, "mask"]).filter("a < b")
+    changed = F.array_union(F.array_except("a_kv", "b_kv"), F.array_except("b_kv", "a_kv"))
+    diff = F.size(F.array_distinct(F.transform(changed, lambda x: x["path"])))
+    return (pairs.withColumn("differing", diff).filter(C("differing").between(1, max_diff)).dropDuplicates([family, "a", "b"])
+            .select(family, "a", "b", "differing", "a_n", "b_n"))
 
 
 def pair_deals(deals: DataFrame, *, account: str = "account", seq: str = "deal_seq", size: int = 65536) -> DataFrame:

@@ -196,8 +196,8 @@ def scan_pairs(df: DataFrame, event: str, fields: Sequence[str], targets: Sequen
 def pair_candidates(pairs: DataFrame) -> DataFrame:
     """One row per pair with the three comparisons as structs (null baseline when empty)."""
     key = ["event", "f", "g", "a", "b", "target"]
-    side = lambda v: F.max(F.when(C("versus") == v, F.struct("cliffs_delta", "pair_count", "left_rows", "right_rows", "left_observed", "right_observed"))).alias(v)
-    return pairs.groupBy(*key).agg(side("EVENT"), side("LEFT"), side("RIGHT")).filter(C("EVENT").isNotNull())
+    side = lambda v: F.max(F.when(C("versus") == v, F.struct("cliffs_delta", "pair_count", "left_rows", "right_rows", "left_observed", "right_observed"))).alias(f"vs_{v.lower()}")
+    return pairs.groupBy(*key).agg(side("EVENT"), side("LEFT"), side("RIGHT")).filter("vs_event is not null")
 
 
 def rank_candidates(single: DataFrame, pairs: DataFrame | None = None, *, top_k: int | None = None, minimum_rows: int = 1,
@@ -209,10 +209,10 @@ def rank_candidates(single: DataFrame, pairs: DataFrame | None = None, *, top_k:
     if pairs is not None:
         p = pair_candidates(pairs)
         if require_baselines:
-            p = p.filter(C("LEFT").isNotNull() & C("RIGHT").isNotNull())
+            p = p.filter("vs_left is not null and vs_right is not null")
         s = s.unionByName(p.select(F.lit("INTERACTION").alias("kind"), "event", "target",
                                    F.concat_ws("&", F.concat_ws("=", "f", "a"), F.concat_ws("=", "g", "b")).alias("condition"),
-                                   F.array_compact(F.array("EVENT", "LEFT", "RIGHT")).alias("cs")))
+                                   F.array_compact(F.array("vs_event", "vs_left", "vs_right")).alias("cs")))
     ok = F.forall("cs", lambda c: (c["left_rows"] >= minimum_rows) & (c["right_rows"] >= minimum_rows) & (c["left_observed"] >= minimum_observed)
                   & (c["right_observed"] >= minimum_observed) & (c["pair_count"] >= minimum_pairs) & c["cliffs_delta"].isNotNull())
     low = lambda f: F.array_min(F.transform("cs", f))
