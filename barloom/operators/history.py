@@ -24,18 +24,13 @@ def search_atoms(space: Mapping) -> list[dict]:
     return atoms
 
 
-def atom_table(spark: SparkSession, atoms: Sequence[Mapping]) -> DataFrame:
-    rows = [(i, a["field"], a["op"], str(a["value"])) for i, a in enumerate(atoms)]
-    return spark.createDataFrame(rows, "atom int, field string, op string, value string")
-
-
-def generate_candidates(atoms: DataFrame, n_atoms: int, *, max_conditions: int, grid: Mapping[str, Sequence[int]], search_id: str) -> DataFrame:
+def generate_candidates(spark: SparkSession, search_atoms: Sequence[Mapping], *, max_conditions: int, grid: Mapping[str, Sequence[int]], search_id: str) -> DataFrame:
     """All combinations of 1..m atoms times the parameter grid, with a fingerprint id.
 
     Candidates are decoded from a distributed range: the grid by mixed radix, the
     combination by unranking, so neither the driver nor a join holds the product.
     """
-    spark = atoms.sparkSession
+    n_atoms = len(search_atoms)
     sizes = [math.comb(n_atoms, k) for k in range(1, min(max_conditions, n_atoms) + 1)]
     cells = math.prod(len(v) for v in grid.values())
     d = spark.range(sum(sizes) * cells).withColumn("_combo", F.floor(C("id") / F.lit(cells)).cast("long")).withColumn("_cell", C("id") % cells)
@@ -66,7 +61,7 @@ def generate_candidates(atoms: DataFrame, n_atoms: int, *, max_conditions: int,
         d = d.withColumn("_w", F.when(todo, walk))
         d = d.withColumns({"atoms": F.when(todo, F.concat("atoms", F.array(C("_w.pick")))).otherwise(C("atoms")),
                            "_prev": F.when(todo, C("_w.pick")).otherwise(C("_prev")), "_left": F.when(todo, C("_w.left")).otherwise(C("_left"))})
-    text = atoms.select(F.map_from_entries(F.collect_list(F.struct("atom", F.concat_ws(" ", "field", "op", "value")))).alias("m")).scalar()
+    text = F.create_map(*[x for i, a in enumerate(search_atoms) for x in (F.lit(i), F.lit(f"{a['field']} {a['op']} {a['value']}"))])
     d = d.withColumn("condition", F.array_join(F.transform("atoms", lambda a: F.element_at(text, a)), " AND "))
     keys = list(grid)
     print_ = F.sha2(F.concat_ws("|", F.lit(search_id), C("condition"), *[C(k).cast("string") for k in keys]), 256)

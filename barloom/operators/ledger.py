@@ -196,17 +196,22 @@ def criteria_check(metrics: DataFrame, criteria: Mapping[str, float], by: Sequen
 
 # ---- performance by group, period and calendar -----------------------------------------------
 
+def _cash(v: Column) -> Column:
+    """Exact decimal sum in cents."""
+    return F.round(F.sum(v.cast("decimal(18,6)")), 2).cast("double")
+
+
 def performance_by(trades: DataFrame, by: Sequence[str], value: str = "profit") -> DataFrame:
     v = C(value)
     return trades.groupBy(*by).agg(F.count("*").alias("n"), flag_count(v > 0).alias("wins"), flag_count(v < 0).alias("losses"),
-                                   F.avg((v > 0).cast("double")).alias("win_rate"), F.avg(v).alias("expectancy"), F.round(F.sum(v), 2).alias("net"))
+                                   F.avg((v > 0).cast("double")).alias("win_rate"), F.avg(v).alias("expectancy"), _cash(v).alias("net"))
 
 
 def performance_cube(trades: DataFrame, a: str, b: str, value: str = "profit") -> DataFrame:
     """N, win rate, expectancy, net over all combinations of two keys and their totals."""
     v = C(value)
     g = trades.cube(a, b).agg(F.grouping(a).alias("_ga"), F.grouping(b).alias("_gb"), F.count("*").alias("n"), flag_count(v > 0).alias("wins"),
-                              F.avg((v > 0).cast("double")).alias("win_rate"), F.avg(v).alias("expectancy"), F.round(F.sum(v), 2).alias("net"))
+                              F.avg((v > 0).cast("double")).alias("win_rate"), F.avg(v).alias("expectancy"), _cash(v).alias("net"))
     name = lambda k, f: F.when(C(f) == 1, "ALL").otherwise(C(k).cast("string")).alias(k)
     return g.select(name(a, "_ga"), name(b, "_gb"), "n", "wins", "win_rate", "expectancy", "net")
 

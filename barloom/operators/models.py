@@ -190,7 +190,7 @@ def frozen_gmm_score(df: DataFrame, features: Sequence[str], params: Mapping, pr
     ``features`` is the exact order of the parameters.  Rows with a null input get nulls.
     """
     d, k = len(features), len(params["weights"])
-    logs = {}
+    logs = []
     for j in range(k):
         mu, pc = params["means"][j], params["precisions_cholesky"][j]
         quad = F.lit(0.0)
@@ -201,31 +201,28 @@ def frozen_gmm_score(df: DataFrame, features: Sequence[str], params: Mapping, pr
                     y = y + (C(features[row]) - float(mu[row])) * float(pc[row][col])
             quad = quad + F.pow(y, 2)
         const = sum(math.log(pc[i][i]) for i in range(d)) - d / 2 * math.log(2 * math.pi) + math.log(params["weights"][j])
-        logs[f"_l{j}"] = F.lit(const) - quad / 2
-    out = df.withColumns(logs)
-    out = out.withColumn("_m", F.greatest(*[C(f"_l{j}") for j in range(k)]))
-    out = out.withColumn("_z", sum((F.exp(C(f"_l{j}") - C("_m")) for j in range(1, k)), F.exp(C("_l0") - C("_m"))))
+        logs.append(F.lit(const) - quad / 2)
+    # lambdas bind the component densities once; plain references would repeat them in every posterior
+    def posterior(l):
+        top = F.array_max(l)
+        total = F.aggregate(l, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+        return F.struct(F.transform(l, lambda x: F.exp(x - top) / total).alias("p"), (F.array_position(l, top) - 1).cast("int").alias("state"))
     ready = C(features[0]).isNotNull()
     for f in features[1:]:
         ready = ready & C(f).isNotNull()
-    post = {f"{prefix}{j}": F.when(ready, F.exp(C(f"_l{j}") - C("_m")) / C("_z")) for j in range(k)}
-    label = F.when(C("_l0") == C("_m"), 0)
-    for j in range(1, k):
-        label = label.when(C(f"_l{j}") == C("_m"), j)
-    return out.withColumns({**post, "state": F.when(ready, label)}).drop("_m", "_z", *logs)
+    out = df.withColumn("_g", F.when(ready, F.transform(F.array(F.array(*logs)), posterior)[0]))
+    return out.select(*df.columns, *[C("_g.p")[j].alias(f"{prefix}{j}") for j in range(k)], C("_g.state").alias("state"))
 
 
 def assign_states(features_df: DataFrame, features: Sequence[str], params: Mapping, step: int, chunk_rows: int = 4096) -> DataFrame:
     """Scored bars with max, margin, entropy, age, bars since transition and posterior changes."""
+    from barloom.sources.stage import stage
     k = len(params["weights"])
     s = frozen_gmm_score(features_df.dropna(subset=list(features)), features, params)
-    s = s.withColumns(posterior_scores(F.array(*[C(f"p_{j}") for j in range(k)])))
-    s = with_previous_state(s, step, chunk_rows=chunk_rows)
-    from barloom.operators.timeline import running
-    s = running(s, {"_p": ("prev", F.struct(*[f"p_{j}" for j in range(k)], "max_posterior", "entropy"))}, by=("symbol",), chunk_rows=chunk_rows)
-    delta = lambda c: F.when(C("connected"), C(c) - C(f"_p.{c}"))
-    return s.withColumns({**{f"delta_p_{j}": delta(f"p_{j}") for j in range(k)}, "delta_max_posterior": delta("max_posterior"),
-                          "delta_entropy": delta("entropy")}).drop("_p")
+    s = stage(s.withColumns(posterior_scores(F.array(*[C(f"p_{j}") for j in range(k)]))))
+    moved = [*[f"p_{j}" for j in range(k)], "max_posterior", "entropy"]
+    s = with_previous_state(s, step, chunk_rows=chunk_rows, carry=moved)
+    return s.withColumns({f"delta_{c}": F.when(C("connected"), C(c) - C(f"previous_{c}")) for c in moved}).drop(*[f"previous_{c}" for c in moved])
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str, by: Sequence[str] = ("slice",)) -> DataFrame:

@@ -306,12 +306,13 @@ def yearly_occupancy(df: DataFrame, state: str, states: Sequence[int], period: C
     return df.groupBy(period.alias("period")).agg(*counts, F.count("*").alias("rows"))
 
 
-def with_previous_state(states: DataFrame, step: int, state: str = "state", chunk_rows: int = 4096) -> DataFrame:
-    """Previous connected state (exact step, same segment), age, bars since change and block id."""
-    both = F.struct(C("ts"), C(state).alias("s"), C("seg"))
+def with_previous_state(states: DataFrame, step: int, state: str = "state", chunk_rows: int = 4096, carry: Sequence[str] = ()) -> DataFrame:
+    """Previous connected state (exact step, same segment), age, bars since change and block id; ``carry`` adds previous_<column>."""
+    both = F.struct(C("ts"), C(state).alias("s"), C("seg"), *carry)
     d = running(states, {"_p": ("prev", both)}, by=("symbol",), chunk_rows=chunk_rows)
     linked = F.coalesce((F.unix_seconds("ts") - F.unix_seconds("_p.ts") == step) & (C("_p.seg") == C("seg")), F.lit(False))
-    d = d.withColumns({"connected": linked, "previous_state": F.when(linked, C("_p.s"))}).drop("_p")
+    d = d.withColumns({"connected": linked, "previous_state": F.when(linked, C("_p.s")),
+                       **{f"previous_{c}": C(f"_p.{c}") for c in carry}}).drop("_p")
     change = C("connected") & (C("previous_state") != C(state))
     start, moved = ~C("connected"), ~C("connected") | change
     d = d.withColumns({"_start": F.when(start, C("pos")), "_run": F.when(moved, C("pos")), "_chg": F.when(change, C("pos"))})
