@@ -4,7 +4,7 @@ from importlib import import_module
 
 # fixed order of the groups
 GROUPS = ("flagship", "sources", "quality", "calendars", "scalars", "windows", "joins", "events", "statistics",
-          "labelling", "models", "history", "relational", "functions_sql")
+          "labelling", "models", "history", "relational", "streams", "functions_sql")
 
 
 @lru_cache

@@ -12,8 +12,8 @@ GRID = dict(left=[2, 3], right=[2], window=[4, 8])
 ATOMS = [("l_returnflag EQ A", "l_returnflag = 'A'"), ("l_returnflag EQ N", "l_returnflag = 'N'"), ("l_returnflag EQ R", "l_returnflag = 'R'"), ("l_quantity GT 10.0", "l_quantity > 10"),
          ("l_quantity GT 25.0", "l_quantity > 25"), ("l_quantity GT 40.0", "l_quantity > 40"), ("l_quantity LTE 10.0", "l_quantity <= 10"), ("l_quantity LTE 25.0", "l_quantity <= 25"),
          ("l_quantity LTE 40.0", "l_quantity <= 40"), ("l_tax GTE 0.04", "l_tax >= 0.04")]
-AT = "at AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, (t, _) in enumerate(ATOMS)) + ") v(a, t))"
-CO = f"{AT}, co AS (SELECT [a] AS atoms, t AS condition FROM at UNION ALL SELECT [x.a, y.a], x.t || ' AND ' || y.t FROM at x JOIN at y ON x.a < y.a UNION ALL SELECT [x.a, y.a, z.a], x.t || ' AND ' || y.t || ' AND ' || z.t FROM at x JOIN at y ON x.a < y.a JOIN at z ON y.a < z.a)"
+AT = "atm AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, (t, _) in enumerate(ATOMS)) + ") v(a, t))"
+CO = f"{AT}, co AS (SELECT [a] AS atoms, t AS condition FROM atm UNION ALL SELECT [x.a, y.a], x.t || ' AND ' || y.t FROM atm x JOIN atm y ON x.a < y.a UNION ALL SELECT [x.a, y.a, z.a], x.t || ' AND ' || y.t || ' AND ' || z.t FROM atm x JOIN atm y ON x.a < y.a JOIN atm z ON y.a < z.a)"
 CA = f"{CO}, ca AS (SELECT *, sha256('S1|' || condition || '|' || l.l || '|2|' || w.w) AS fingerprint, l.l AS \"left\", 2 AS \"right\", w.w AS \"window\" FROM co, (VALUES (2), (3)) l(l), (VALUES (4), (8)) w(w))"
 
 

@@ -151,7 +151,7 @@ def register(cat):
 
     @cat.add("h29_missing_vector_diagnosis", f"""WITH {indexed_sql(M15)}, y AS (SELECT *, epoch(min(ts) OVER (PARTITION BY symbol, seg)) AS s0, lag(ts) OVER (PARTITION BY symbol ORDER BY pos) AS pv, epoch(ts) + 900 AS cs FROM x), f AS (SELECT *, (cs - s0)::BIGINT // 900 AS m, greatest(0, floor((cs - ceil(s0 / 3600) * 3600) / 3600))::BIGINT AS h FROM y), gg AS (
         SELECT *, list_filter([CASE WHEN seg_pos < 4 THEN 'er_4' END, CASE WHEN seg_pos < 16 OR pos % 50 = 0 THEN 'er_16' END, CASE WHEN h < 4 THEN 'h1_x' END], lambda v: v IS NOT NULL) AS missing, list_filter([CASE WHEN seg_pos < 4 AND m < 5 THEN 'er_4' END, CASE WHEN (seg_pos < 16 OR pos % 50 = 0) AND m < 17 THEN 'er_16' END, CASE WHEN h < 4 THEN 'h1_x' END], lambda v: v IS NOT NULL) AS short FROM f),
-        st AS (SELECT symbol, seg, arg_min(prev_ts, pos) AS gap_from, min(ts) AS opened FROM x GROUP BY 1, 2), e AS (SELECT event_id, concat('S', user_id % 2) AS symbol, floor(epoch(ts) / 900) * 900 AS req FROM events), j AS (SELECT e.*, gg.missing, gg.short, gg.m, gg.h, st.gap_from, st.opened FROM e LEFT JOIN gg ON gg.symbol = e.symbol AND gg.cs = e.req LEFT JOIN st ON st.symbol = gg.symbol AND st.seg = gg.seg),
+        st AS (SELECT symbol, seg, min(CASE WHEN seg_pos = 0 THEN prev_ts END) AS gap_from, min(ts) AS opened FROM x GROUP BY 1, 2), e AS (SELECT event_id, concat('S', user_id % 2) AS symbol, floor(epoch(ts) / 900) * 900 AS req FROM events), j AS (SELECT e.*, gg.missing, gg.short, gg.m, gg.h, st.gap_from, st.opened FROM e LEFT JOIN gg ON gg.symbol = e.symbol AND gg.cs = e.req LEFT JOIN st ON st.symbol = gg.symbol AND st.seg = gg.seg),
         gp AS (SELECT symbol, epoch(prev_ts) AS a, epoch(ts) AS b FROM x WHERE epoch(ts) - epoch(prev_ts) > 900), k AS (SELECT j.*, gp.a, gp.b FROM j ASOF LEFT JOIN gp ON gp.symbol = j.symbol AND gp.a <= j.req - 900)
         SELECT event_id, CASE WHEN missing IS NOT NULL THEN CASE WHEN len(missing) = 0 THEN 'MATCHED' WHEN len(short) = len(missing) THEN CASE WHEN gap_from IS NOT NULL AND isodow(gap_from) = 5 AND isodow(opened) IN (7, 1) THEN 'WEEKLY_SEGMENT_WARMUP' WHEN gap_from IS NOT NULL THEN 'MIDWEEK_SEGMENT_WARMUP' ELSE 'INITIAL_SEGMENT_WARMUP' END ELSE 'SPECIFIC_FEATURE_INCOMPLETE' END
           WHEN a < req - 900 AND req - 900 < b THEN 'SOURCE_BAR_GAP' ELSE 'NO_FEATURE_ROW_AT_BOUNDARY' END AS reason, array_to_string(missing, ',') AS missing, m AS completed_m15, h AS completed_h1 FROM k""")
