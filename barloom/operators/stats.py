@@ -40,8 +40,14 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str, weights: Mapping[s
          .groupBy(*by, "_v").agg(*[F.sum(w).cast("long").alias(k) for k, w in weights.items()]))
     bounds = d.groupBy(*by).agg(F.count("*").alias("_size"),
                                 F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], CUTS * 8).alias("_cuts"))
-    bucket = F.when(C("_size") <= SMALL_GROUP, 0).otherwise(F.size(F.filter("_cuts", lambda x: x < C("_v"))))
-    d = join_ns(d, bounds, by).withColumn("_b", bucket).drop("_cuts", "_size")
+    # number of cuts below the value, found in two steps of about sqrt(CUTS) comparisons
+    fan = int(CUTS ** 0.5)
+    bounds = bounds.withColumn("_coarse", F.transform(F.sequence(F.lit(1), F.lit((CUTS - 1) // fan)), lambda i: F.element_at("_cuts", (i * fan).cast("int"))))
+    below = lambda cuts: F.size(F.filter(cuts, lambda x: x < C("_v")))
+    fine = C("_k") * fan + below(F.slice("_cuts", C("_k") * fan + 1, F.lit(fan - 1)))
+    large = C("_size") > SMALL_GROUP
+    d = join_ns(d, bounds, by).withColumn("_k", F.when(large, below("_coarse")))
+    d = d.withColumn("_b", F.when(large, fine).otherwise(0)).drop("_cuts", "_coarse", "_k", "_size")
     inner = W.partitionBy(*by, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     group = W.partitionBy(*by)
     before = group.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from barloom.functions.calendar import local, session_flags, weekday
 from barloom.functions.scalars import candle_geometry, direction_of, finite, safe_ratio, sign_of
 from barloom.operators.timeline import CHUNK_ROWS, chunked, index_bars, running
+from barloom.sources.stage import stage
 
 C = F.col
 
@@ -189,7 +190,7 @@ def resample_complete(bars: DataFrame, source_step: int, step: int, keys=("symbo
 
 def higher_state(bars: DataFrame, source_step: int, step: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Completed higher-timeframe bars with direction, er_8, atr_change_4 and slope_atr_8."""
-    hi = index_bars(resample_complete(bars, source_step, step), step, parent="seg")
+    hi = index_bars(stage(resample_complete(bars, source_step, step)), step, parent="seg")
     back = atr_back(14) + 16
     check_atr_range(14, chunk_rows + back)
 
@@ -252,7 +253,7 @@ def universal_features(indexed: DataFrame, step: int, chunk_rows: int = CHUNK_RO
     """The flat causal feature table: one row per completed bar, labelled by its close."""
     if as_of is not None:
         indexed = indexed.filter(F.unix_seconds("ts") + step <= F.unix_seconds(F.lit(as_of).cast("timestamp")))
-    contexts = [(higher_state(indexed, step, seconds, chunk_rows), seconds,
+    contexts = [(stage(higher_state(indexed, step, seconds, chunk_rows)), seconds,
                  {"direction": f"completed_{tf}_direction", "er_8": f"{tf}_er_8",
                   "atr_change_4": f"{tf}_atr_change_4", "slope_atr_8": f"{tf}_slope_atr_8"})
                 for tf, seconds in (("h1", 3600), ("h3", 10800))]
