@@ -168,7 +168,7 @@ def register(cat):
         i = intents(s, sf).select("intent_id", "rule_id")
         return G.fill_profile(ledger(s, sf).filter("status = 'CLOSED'").join(i, "intent_id"), 0.01, ["rule_id", "exit_reason"])
 
-    # every tenth of the replicates the evidence config asks for keeps the check affordable; rows are all used
+    # few replicates keep the SQL twin affordable; every replicate uses all rows
     N = 20
     pathq = f"""WITH {PATH}, nn AS (SELECT count(*) AS n FROM c), dr AS (SELECT r.range AS rep, c.idx AS j, %s AS src FROM c, nn, range({N}) r), sm AS (SELECT dr.rep, dr.j, c.net_r FROM dr JOIN c ON c.idx = dr.src), eq AS (SELECT rep, j, net_r, sum(net_r) OVER (PARTITION BY rep ORDER BY j) AS e FROM sm), pk AS (SELECT *, greatest(0, max(e) OVER (PARTITION BY rep ORDER BY j)) - e AS dd FROM eq)
         SELECT rep AS replicate, round(avg(net_r), 4) AS mean_r, round(sum(net_r), 4) AS end_r, round(max(dd), 4) AS max_drawdown_r FROM pk GROUP BY 1"""

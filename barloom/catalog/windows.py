@@ -181,8 +181,8 @@ def register(cat):
        {g(12, f'max(high) {fr("12 PRECEDING", "1 PRECEDING")}')} AS prior_high_12, {g(12, f'min(low) {fr("12 PRECEDING", "1 PRECEDING")}')} AS prior_low_12,
        list(high - low) {fr('99 PRECEDING')} AS lr_, list(atr) FILTER (atr IS NOT NULL) {fr('99 PRECEDING')} AS la_,
        ts + INTERVAL {M15} SECOND AS close_ts FROM a WINDOW w AS {SEG}), m AS (
-      SELECT f.*, CASE WHEN len(lr_) = 100 THEN 1.0 * len(list_filter(lr_, lambda v: v <= candle_range)) END AS range_percentile_100,
-       CASE WHEN len(la_) = 100 AND atr IS NOT NULL THEN 1.0 * len(list_filter(la_, lambda v: v <= atr)) END AS atr_percentile_100,
+      SELECT f.*, CASE WHEN len(lr_) = 100 THEN 1.0::DOUBLE * len(list_filter(lr_, lambda v: v <= candle_range)) END AS range_percentile_100,
+       CASE WHEN len(la_) = 100 AND atr IS NOT NULL THEN 1.0::DOUBLE * len(list_filter(la_, lambda v: v <= atr)) END AS atr_percentile_100,
        CASE WHEN h16 = l16 THEN 0.5 ELSE (close - l16) / (h16 - l16) END AS range_pos_16,
        extract(hour FROM (close_ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AS analysis_hour, isodow(close_ts) - 1 AS weekday,
        extract(hour FROM (close_ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London') BETWEEN 8 AND 16 AS london_active,
@@ -206,10 +206,12 @@ def register(cat):
 
     vec = ", ".join(f"round({c}, 6)" for c in X.STATE_FEATURES)
 
-    @cat.add("e22_state_vector", f"{uni}, o AS ({uni_sel}) SELECT symbol, close_ts, " + ", ".join(f"{c} AS v{i:02d}" for i, c in enumerate(X.STATE_FEATURES))
+    uni_h1 = uni.replace(indexed_sql(M15), indexed_sql(H1)).replace(f" / {M15}", f" / {H1}").replace(f"INTERVAL {M15} SECOND", f"INTERVAL {H1} SECOND")
+
+    @cat.add("e22_state_vector", f"{uni_h1}, o AS ({uni_sel}) SELECT symbol, close_ts, " + ", ".join(f"{c} AS v{i:02d}" for i, c in enumerate(X.STATE_FEATURES))
              + " FROM o WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in X.STATE_FEATURES))
     def _(s, sf):
-        v = X.state_vector(X.universal_features(indexed(s, sf, M15), M15, CHUNK))
+        v = X.state_vector(X.universal_features(indexed(s, sf), H1, CHUNK))
         return v.select("symbol", "close_ts", *[C("state_vector")[i].alias(f"v{i:02d}") for i in range(len(X.STATE_FEATURES))])
 
     @cat.add("e28_trend_momentum", base() + f"""SELECT symbol, {ep('ts')} AS ts_s, CASE WHEN s >= 1 AND mv > 0 THEN 'BULLISH' WHEN s >= 1 AND mv < 0 THEN 'BEARISH' ELSE 'NO_TREND' END AS trend,
