@@ -75,7 +75,7 @@ def register(cat):
 
     @cat.add("a10_table_fingerprint")
     def _(s, sf):
-        d = indexed(s, sf).filter("symbol = 'S0' or symbol = 'S1'").withColumn("p", C("pos") * 2 + F.when(C("symbol") == "S1", 1).otherwise(0))
+        d = indexed(s, sf).withColumn("p", C("pos") * 2 + F.when(C("symbol") == "S1", 1).otherwise(0))
         return A.table_fingerprint(d, "p")
 
     @cat.add("a11_chronological_slice", f"WITH {indexed_sql(M15)} SELECT symbol, count(*) AS n, {ep('min(ts)')} AS first_ts, {ep('max(ts)')} AS last_ts, 'DISCOVERY' AS role FROM x WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1")
