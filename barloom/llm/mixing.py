@@ -98,10 +98,13 @@ def _position(taken_before: Column, schedules) -> Column:
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS,
              share: float = SHARE, max_passes: int = MAX_PASSES, schedules=SCHEDULES) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, position (training position of its first pass; null if never taken)."""
+    """One row per document: doc_id, size, source_size, target, taken, position (training position of its first pass; null if never taken).
+
+    Range-sorted by position, the untaken first."""
     placed = _places(docs, id_col, text_col, source_col, weights, share, max_passes, False)
     first = F.when(C("taken") > 0, _position(C("before"), schedules))
-    return placed.select("doc_id", "size", "source_size", "target", "taken", first.alias("position"))
+    rows = placed.select("doc_id", "size", "source_size", "target", "taken", first.alias("position"))
+    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS,

@@ -1,8 +1,8 @@
 """Registered queries opN_ of this subpackage and their SQL twins."""
 from __future__ import annotations
 
-from barloom.llm import exact_dedup, mixing, sentencepiece_bpe, token_files, url_filters
-from barloom.llm.common import table
+from barloom.llm import exact_dedup, language_id, mixing, sentencepiece_bpe, token_files, url_filters, vector_search
+from barloom.llm.common import C, table
 
 QUERIES, SQL = {}, {}
 
@@ -25,6 +25,10 @@ def vocabulary(name: str) -> str:
 def _(s, sf): return sentencepiece_bpe.round_trips(table(s, sf, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+@query("op3_language_id")
+def _(s, sf): return language_id.identify(table(s, sf, "documents"))
+
+
 @query("op4_mixing", mixing.SQL)
 def _(s, sf): return mixing.plan_mix(table(s, sf, "documents")).drop("position")
 
@@ -41,3 +45,7 @@ def _(s, sf):
 
 @query("op9_url_filters", url_filters.SQL)
 def _(s, sf): return url_filters.filter_urls(url_filters.dated_captures(table(s, sf, "pages")), url_filters.derived_list(table(s, sf, "pages")))
+
+
+@query("op10_vector_search", vector_search.SQL)
+def _(s, sf): return vector_search.top_k(table(s, sf, "embeddings"), C("vec_id") % 50 == 0, 5)
