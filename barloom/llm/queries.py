@@ -1,7 +1,7 @@
 """Registered queries opN_ of this subpackage and their SQL twins."""
 from __future__ import annotations
 
-from barloom.llm import exact_dedup, language_id, mixing, sentencepiece_bpe, token_files, url_filters, vector_search
+from barloom.llm import exact_dedup, language_id, mixing, quality, sentencepiece_bpe, token_files, url_filters, vector_search
 from barloom.llm.common import C, table
 
 QUERIES, SQL = {}, {}
@@ -25,6 +25,12 @@ def vocabulary(name: str) -> str:
 def _(s, sf): return sentencepiece_bpe.round_trips(table(s, sf, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+@query("op2_quality")
+def _(s, sf):
+    docs = table(s, sf, "documents")
+    return quality.score(docs, quality.fit(docs, quality.graded(table(s, sf, "labels"))))
+
+
 @query("op3_language_id")
 def _(s, sf): return language_id.identify(table(s, sf, "documents"))
 

@@ -88,7 +88,7 @@ class WordEncoder:
         words = {w for x in split if x for w in x}
         if len(self.young) + len(words) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        if new := words - self.young.keys():
+        if new := {w for w in words if w not in self.young}:
             self._learn(new)
         young, last = self.young, np.array([end], dtype=self.dtype).tobytes()
         return [(self._ids(self.whole, t).tobytes() if x is None else b"".join([young[w] for w in x])) + last for t, x in zip(texts, split)]
