@@ -1,7 +1,9 @@
 """Registered queries opN_ of this subpackage and their SQL twins."""
 from __future__ import annotations
 
-from barloom.llm import exact_dedup, language_id, mixing, quality, sentencepiece_bpe, token_files, url_filters, vector_search
+from pyspark.sql import functions as F
+
+from barloom.llm import exact_dedup, language_id, mixing, near_dedup, quality, sentencepiece_bpe, substring_dedup, token_files, url_filters, vector_search
 from barloom.llm.common import C, table
 
 QUERIES, SQL = {}, {}
@@ -43,12 +45,20 @@ def _(s, sf): return mixing.plan_mix(table(s, sf, "documents")).drop("position")
 def _(s, sf): return exact_dedup.exact_groups(table(s, sf, "documents"))
 
 
+@query("op6_near_dedup", near_dedup.SQL)
+def _(s, sf): return near_dedup.near_groups(table(s, sf, "documents"), percent=85)
+
+
 @query("op7_token_files")
 def _(s, sf):
     folder = token_files.token_folder(s)
     return token_files.read_tokens(s, folder, token_files.write_tokens(table(s, sf, "documents"), folder, vocabulary("word_bpe_49k.json"), 2))
 
 
+@query("op8_substring_dedup", substring_dedup.SQL)
+def _(s, sf): return substring_dedup.remove_repeats(table(s, sf, "documents")).withColumn("text", F.sha2(C("text").cast("binary"), 256)).withColumnRenamed("text", "kept_sha256")
+
+
 @query("op9_url_filters", url_filters.SQL)
 def _(s, sf): return url_filters.filter_urls(url_filters.dated_captures(table(s, sf, "pages")), url_filters.derived_list(table(s, sf, "pages")))
 
