@@ -7,7 +7,8 @@ the exact Jaccard of the full sets verifies: linked is 100 * intersection >= per
 Equal sets are one class from the start, so copies never meet each other. In the inverted lists a class stands only under its rarest values:
 two sketches that overlap by ``need`` values share one of their (size - need + 1) rarest. ``need`` lies five standard deviations below the
 overlap of a pair that just links, so common passages make no lists (sketches that hold their whole set: the least that the sizes allow). A list is first compared with one member, its pivot; what is in one
-component by then needs no comparison, and all pairs of different components that are left follow. No link is lost: each pair in a list was either
+component by then needs no comparison, and all pairs of different components that are left follow. Sizes and bit maps of the sketches rule out
+most pairs in the join itself. No link is lost: each pair in a list was either
 verified or had its ends in one component already.
 
 Defined cases: null or word-less text has an empty set, links with nothing and is its own component; a null id has no component
@@ -25,7 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barloom.llm.common import C
 from barloom.sources.stage import stage
 
-K = 64
+K = 128
+BITS = 512  # of the map of a sketch's values
 WORDS = 5
 PERCENT = 80
 CACHE_WORDS = 500_000
@@ -73,8 +75,14 @@ def shingle_set(text: str | None, hashes: WordHashes, n: int = WORDS) -> np.ndar
     return np.unique(sequence_hashes(hashes.of(words), min(n, len(words))) >> np.uint64(1)).astype(np.int64)
 
 
+def _bit_map(values: np.ndarray) -> np.ndarray:
+    held = np.zeros(BITS, bool)
+    held[values % BITS] = True
+    return np.packbits(held, bitorder="little").view("<i8")
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int = K) -> DataFrame:
-    """(doc_id, n, digest, sketch): size and fingerprint of the set, and its k smallest hashes."""
+    """(doc_id, n, digest, sketch, bits): size and fingerprint of the set, its k smallest hashes and a bit map of these."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -82,9 +90,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int = K) -> DataFra
         for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
             sets = [shingle_set(t, hashes) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                                              pa.array([s[:k] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "sketch"])
+                                              pa.array([s[:k] for s in sets], pa.list_(pa.int64())), pa.array([_bit_map(s[:k]) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "sketch", "bits"])
 
-    return docs.select(C(id_col).alias("doc_id"), C(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, digest binary, sketch array<long>")
+    return docs.select(C(id_col).alias("doc_id"), C(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, digest binary, sketch array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -120,9 +128,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _fit(a: Column, b: Column, percent: int) -> Column:
-    """Whether two set sizes leave room for a link."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _may_link(x: str, y: str, percent: int, k: int) -> Column:
+    """Whether two classes leave room for a link, by their set sizes ``n`` and bit maps ``bits`` (columns x.n, y.n, ...).
+
+    At the least similarity the sketches share ``need`` values: of sets held in full that is certain, of cut ones five standard deviations below
+    the mean for their sizes. Every value that isn't shared changes one bit at most.
+    """
+    p = percent / 100
+    nx, ny = C(f"{x}n").cast("double"), C(f"{y}n").cast("double")
+    sx, sy = F.least(nx, F.lit(float(k))), F.least(ny, F.lit(float(k)))
+    full = p / (1 + p) * (nx + ny)
+    need = F.when((nx < k) & (ny < k), full).when((nx < k) | (ny < k), F.least(sx, sy) * max(0.0, 2 - 1 / p)).otherwise(full / F.greatest(nx, ny) * k - 5 * math.sqrt(p * (1 - p) * k))
+    apart = sum((F.bit_count(C(f"{x}bits")[i].bitwiseXOR(C(f"{y}bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (apart <= sx + sy - 2 * need + 1e-6)
 
 
 def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k: int, floor: float) -> DataFrame:
@@ -141,7 +159,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, n_shingles, component_id, kept."""
     floor = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / k)
     own = stage(sketches(docs, id_col, text_col, k))
-    classes = stage(own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "digest").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch")))
+    classes = stage(own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sketch", "bits"), "doc_id").alias("x")).select("n", "digest", "rep", "x.*"))
     reps = classes.select("rep", "n", "sketch")
 
     # inverted lists, only of values that several classes retain, and of each class only its rarest values
@@ -151,26 +169,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = post.join(several, "value").groupBy("rep", "n", "s").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("by_c"))
     room = F.greatest(F.lit(0), C("s") - need + 1 - (C("s") - F.size("by_c"))).cast("int")  # values of one class only come first
     index = stage(shared.select("rep", "n", F.explode(F.slice("by_c", F.lit(1), room)).alias("x")).select("rep", "n", C("x.value").alias("value")))
+    index = index.join(classes.select("rep", "bits"), "rep")
     live = index.join(index.groupBy("value").count().filter("count > 1").select("value"), "value")
     sets = stage(full_sets(docs, live.select("rep").distinct(), id_col, text_col))
 
     # first, each class meets one pivot: the smallest class that leads one of its lists
-    pivot = index.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("p"))
-    met = index.join(pivot, "value").filter(C("rep") != C("p.rep")).filter(_fit(C("n"), C("p.n"), percent))
-    tested = stage(met.groupBy("rep").agg(F.min("p.rep").alias("a")).select("a", C("rep").alias("b")))
+    pivot = index.groupBy("value").agg(F.min_by(F.struct("n", "bits"), "rep").alias("p"), F.min("rep").alias("a")).select("value", "a", C("p.n").alias("p_n"), C("p.bits").alias("p_bits"))
+    met = index.join(pivot, "value").filter((C("rep") != C("a")) & _may_link("", "p_", percent, k))
+    tested = stage(met.groupBy("rep").agg(F.min("a").alias("a")).select("a", C("rep").alias("b")))
     links = stage(verified(tested, reps, sets, percent, k, floor))
 
     # then the other pivots, then all pairs of a list whose ends are still apart
     for all_pairs in (False, True):
         roots = components(links)
-        at = index.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", F.coalesce("root", "rep").alias("root"))
-        apart = at.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("rep", "n", "root")).alias("p")).filter("lo <> hi")
+        at = index.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", "bits", F.coalesce("root", "rep").alias("root"))
+        apart = at.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rep").alias("lead")).filter("lo <> hi")
+        left = at.join(apart.select("value", "lead"), "value")
         if all_pairs:
-            left = at.join(apart.select("value"), "value")
-            other = left.select("value", C("rep").alias("b"), C("n").alias("b_n"), C("root").alias("b_root"))
-            found = left.join(other, "value").filter((C("rep") < C("b")) & (C("root") != C("b_root"))).filter(_fit(C("n"), C("b_n"), percent)).select(C("rep").alias("a"), "b")
+            # a size class is as wide as the sizes of a link may differ: the larger of two linked sets is in the smaller one's class or the next
+            kind = F.floor(F.log(C("n").cast("double")) / math.log(100 / percent)).cast("int")
+            left, key = left.withColumn("kind", kind), ["value", "kind"]
+            larger = left.withColumn("kind", F.explode(F.array(C("kind"), C("kind") - 1)))
+            first = (C("n") > C("b_n")) | ((C("n") == C("b_n")) & (C("rep") > C("b")))
         else:
-            found = at.join(apart, "value").filter(C("root") != C("p.root")).filter(_fit(C("n"), C("p.n"), percent)).select(C("p.rep").alias("a"), C("rep").alias("b"))
+            larger, left, key, first = left, left.filter("rep = lead"), ["value"], C("rep") != C("b")
+        other = left.select(*key, C("rep").alias("b"), C("n").alias("b_n"), C("root").alias("b_root"), C("bits").alias("b_bits"))
+        found = larger.join(other, key).filter(first & (C("root") != C("b_root")) & _may_link("", "b_", percent, k)).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
         fresh = stage(found.distinct().join(tested, ["a", "b"], "left_anti"))
         links = stage(links.unionByName(verified(fresh, reps, sets, percent, k, floor)))
         tested = tested.unionByName(fresh)
