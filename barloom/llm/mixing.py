@@ -115,8 +115,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     due = placed.select("row", "size", "before", "source_size", "take", "rank", "full", "part", passes)
     due = due.withColumn("words", F.when(C("pass") < C("full"), C("size")).otherwise(C("part"))).filter("words > 0")
     due = due.withColumn("position", _position(C("pass") * C("source_size") + C("before"), schedules))
-    words = F.array_join(F.slice(F.regexp_extract_all(C("row")[text_col], F.lit(f"({WORD})"), 1), 1, C("words").cast("int")), " ")
-    text = F.when(C("words") < C("size"), words).otherwise(C("row")[text_col])
+    words = F.array_join(F.slice(F.regexp_extract_all(C("_row")[text_col], F.lit(f"({WORD})"), 1), 1, C("words").cast("int")), " ")
+    text = F.when(C("words") < C("size"), words).otherwise(C("_row")[text_col])
     order = ["position", f"_row.{id_col}", "pass"]
     out = due.withColumnRenamed("row", "_row").withColumn("_text", text).repartitionByRange(*order).sortWithinPartitions(*order)
     cols = [C("_text").alias(c) if c == text_col else C("_row")[c].alias(c) for c in docs.columns]
