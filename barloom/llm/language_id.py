@@ -34,6 +34,8 @@ def ngram_buckets(text: str) -> np.ndarray:
     """Hashed n-grams of the letters of a text; other characters are word borders."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     letter = _letters(points)
+    if not letter.any():
+        return np.zeros(0, np.int64)
     points = np.where(letter, points, 32).astype(np.uint64)
     keep = letter.copy()
     keep[1:] |= letter[:-1]

@@ -37,7 +37,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     """(skey, source_size, rank, target) of each source from rows (skey, size): one row per source.
 
     Sources are full in the order of capacity over weight; the level at which the rest of the budget meets the rest of the weights is found
-    by prefix sums over that order.
+    by prefix sums over that order: it is the highest one that its source doesn't fill up below.
     """
     n = len(weights)
     s = sizes.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     s = s.withColumns({"budget": F.sum("source_size").over(everything) * F.lit(share), "all_weight": F.sum("weight").over(everything),
                        "full": F.coalesce(F.sum("cap").over(before), F.lit(0)), "spent_weight": F.coalesce(F.sum("weight").over(before), F.lit(0.0))})
     s = s.withColumn("level", (C("budget") - C("full")) / (C("all_weight") - C("spent_weight")))
-    s = s.withColumn("water", F.min(F.when(C("cap") / C("weight") >= C("level"), C("level"))).over(everything))
+    s = s.withColumn("water", F.max(F.when(C("cap") / C("weight") >= C("level"), C("level"))).over(everything))
     return s.select("skey", "source_size", "n_rows", "rank", F.when(C("water").isNull(), C("cap").cast("double")).otherwise(F.least(C("cap").cast("double"), C("water") * C("weight"))).alias("target"))
 
 
@@ -131,7 +131,7 @@ f AS (SELECT *, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget, sum(
   coalesce(sum(cap) OVER b, 0)::BIGINT AS filled, coalesce(sum(weight) OVER b, 0) AS spent
   FROM w WINDOW b AS (ORDER BY cap / weight, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, (budget - filled) / (all_weight - spent) AS lvl FROM f),
-m AS (SELECT *, min(CASE WHEN cap / weight >= lvl THEN lvl END) OVER () AS water FROM l),
+m AS (SELECT *, max(CASE WHEN cap / weight >= lvl THEN lvl END) OVER () AS water FROM l),
 t AS (SELECT skey, source_size, CASE WHEN water IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, water * weight) END AS target FROM m),
 p AS (SELECT d.*, source_size, target, floor(target + 0.5)::BIGINT AS take,
   coalesce(sum(size) OVER (PARTITION BY d.skey ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bef FROM d JOIN t ON d.skey = t.skey),

@@ -93,6 +93,17 @@ def test_mixing(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_mixing_levels_of_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 5), f"src{i % 20:02d}" if i % 3 else "src00") for i in range(600)]
+    sums, target = mixed(rows)
+    got = {r.source_size: r.target for r in mixing.plan_mix(docs(spark, rows)).collect()}
+    assert sum(target.values()) == pytest.approx(1.5 * sum(sums.values()))
+    assert set(got) == set(sums.values())
+    for s, t in target.items():
+        if list(sums.values()).count(sums[s]) == 1:
+            assert got[sums[s]] == pytest.approx(t)
+
+
 def test_mix_rows_are_passes_in_order(spark):
     rows = [(i, "a b c d", f"s{i % 3}") for i in range(200)]
     out = mixing.mix(docs(spark, rows), with_position=True).collect()
