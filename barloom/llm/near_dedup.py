@@ -7,8 +7,8 @@ the exact Jaccard of the full sets verifies: linked is 100 * intersection >= per
 Equal sets are one class from the start, so copies never meet each other. In the inverted lists a class stands only under its rarest values:
 two sketches that overlap by ``need`` values share one of their (size - need + 1) rarest. ``need`` lies five standard deviations below the
 overlap of a pair that just links, so common passages make no lists (sketches that hold their whole set: the least that the sizes allow). A list is first compared with one member, its pivot; what is in one
-component by then needs no comparison, and all pairs of different components that are left follow. Sizes and bit maps of the sketches rule out
-most pairs in the join itself. No link is lost: each pair in a list was either
+component by then needs no comparison, and all pairs of different components that are left follow. Sizes and parity maps of the full sets rule
+out most pairs in the join itself. No link is lost: each pair in a list was either
 verified or had its ends in one component already.
 
 Defined cases: null or word-less text has an empty set, links with nothing and is its own component; a null id has no component
@@ -27,7 +27,7 @@ from barloom.llm.common import C
 from barloom.sources.stage import stage
 
 K = 128
-BITS = 512  # of the map of a sketch's values
+BITS = 1024  # of the parity map of a set
 WORDS = 5
 PERCENT = 80
 CACHE_WORDS = 500_000
@@ -75,14 +75,13 @@ def shingle_set(text: str | None, hashes: WordHashes, n: int = WORDS) -> np.ndar
     return np.unique(sequence_hashes(hashes.of(words), min(n, len(words))) >> np.uint64(1)).astype(np.int64)
 
 
-def _bit_map(values: np.ndarray) -> np.ndarray:
-    held = np.zeros(BITS, bool)
-    held[values % BITS] = True
-    return np.packbits(held, bitorder="little").view("<i8")
+def _parity_map(values: np.ndarray) -> np.ndarray:
+    """Bit i says whether an odd number of values falls on i: equal values of two sets cancel in the exclusive or."""
+    return np.packbits((np.bincount(values % BITS, minlength=BITS) & 1).astype(bool), bitorder="little").view("<i8")
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int = K) -> DataFrame:
-    """(doc_id, n, digest, sketch, bits): size and fingerprint of the set, its k smallest hashes and a bit map of these."""
+    """(doc_id, n, digest, sketch, bits): size and fingerprint of the set, its k smallest hashes and the parity map of the whole set."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -90,7 +89,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int = K) -> DataFra
         for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
             sets = [shingle_set(t, hashes) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                                              pa.array([s[:k] for s in sets], pa.list_(pa.int64())), pa.array([_bit_map(s[:k]) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "sketch", "bits"])
+                                              pa.array([s[:k] for s in sets], pa.list_(pa.int64())), pa.array([_parity_map(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "sketch", "bits"])
 
     return docs.select(C(id_col).alias("doc_id"), C(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, digest binary, sketch array<long>, bits array<long>")
 
@@ -128,19 +127,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _may_link(x: str, y: str, percent: int, k: int) -> Column:
-    """Whether two classes leave room for a link, by their set sizes ``n`` and bit maps ``bits`` (columns x.n, y.n, ...).
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether two classes leave room for a link, by their set sizes ``n`` and parity maps ``bits`` (columns x.n, y.n, ...).
 
-    At the least similarity the sketches share ``need`` values: of sets held in full that is certain, of cut ones five standard deviations below
-    the mean for their sizes. Every value that isn't shared changes one bit at most.
+    Sets of a link differ in at most ``d`` values, and only these show in the exclusive or of the maps: never in more than ``d`` bits, and as
+    several may fall on one bit, in fewer on average; five standard deviations above that mean is the limit where it is lower.
     """
     p = percent / 100
     nx, ny = C(f"{x}n").cast("double"), C(f"{y}n").cast("double")
-    sx, sy = F.least(nx, F.lit(float(k))), F.least(ny, F.lit(float(k)))
-    full = p / (1 + p) * (nx + ny)
-    need = F.when((nx < k) & (ny < k), full).when((nx < k) | (ny < k), F.least(sx, sy) * max(0.0, 2 - 1 / p)).otherwise(full / F.greatest(nx, ny) * k - 5 * math.sqrt(p * (1 - p) * k))
+    d = (nx + ny) * ((1 - p) / (1 + p))
+    free = F.exp(d * (-2 / BITS))
+    limit = F.least(d + 1e-6, (1 - free) * (BITS / 2) + 5 * F.sqrt((1 - free * free) * (BITS / 4)))
     apart = sum((F.bit_count(C(f"{x}bits")[i].bitwiseXOR(C(f"{y}bits")[i])) for i in range(BITS // 64)), F.lit(0))
-    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (apart <= sx + sy - 2 * need + 1e-6)
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (apart <= limit)
 
 
 def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k: int, floor: float) -> DataFrame:
@@ -175,7 +174,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # first, each class meets one pivot: the smallest class that leads one of its lists
     pivot = index.groupBy("value").agg(F.min_by(F.struct("n", "bits"), "rep").alias("p"), F.min("rep").alias("a")).select("value", "a", C("p.n").alias("p_n"), C("p.bits").alias("p_bits"))
-    met = index.join(pivot, "value").filter((C("rep") != C("a")) & _may_link("", "p_", percent, k))
+    met = index.join(pivot, "value").filter((C("rep") != C("a")) & _may_link("", "p_", percent))
     tested = stage(met.groupBy("rep").agg(F.min("a").alias("a")).select("a", C("rep").alias("b")))
     links = stage(verified(tested, reps, sets, percent, k, floor))
 
@@ -194,7 +193,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         else:
             larger, left, key, first = left, left.filter("rep = lead"), ["value"], C("rep") != C("b")
         other = left.select(*key, C("rep").alias("b"), C("n").alias("b_n"), C("root").alias("b_root"), C("bits").alias("b_bits"))
-        found = larger.join(other, key).filter(first & (C("root") != C("b_root")) & _may_link("", "b_", percent, k)).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+        found = larger.join(other, key).filter(first & (C("root") != C("b_root")) & _may_link("", "b_", percent)).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
         fresh = stage(found.distinct().join(tested, ["a", "b"], "left_anti"))
         links = stage(links.unionByName(verified(fresh, reps, sets, percent, k, floor)))
         tested = tested.unionByName(fresh)
