@@ -51,16 +51,16 @@ def register(cat):
     hit = " + ".join(f"CASE WHEN list_contains(atoms, {i}) AND NOT ({q}) THEN 1 ELSE 0 END" for i, (_, q) in enumerate(ATOMS))
 
     @cat.add("k03_evaluate_candidates", f"WITH {CO}, cb AS (SELECT {', '.join(f'({q}) AS q{i}' for i, (_, q) in enumerate(ATOMS))}, count(*) AS n, sum(0.05 - l_discount) AS s FROM lineitem GROUP BY ALL), ev AS (SELECT condition, sum(cb.n) AS n, sum(cb.s) AS s FROM co JOIN cb ON " + " AND ".join(f"(q{i} OR NOT list_contains(atoms, {i}))" for i in range(len(ATOMS)))
-             + " GROUP BY 1) SELECT condition, coalesce(n, 0)::BIGINT AS n, round(s / n, 6) AS mean_target, CASE WHEN coalesce(n, 0) < 500 THEN 'REJECT_LOW_SAMPLE' WHEN s / n < -0.0003 THEN 'REJECT_NEGATIVE_EFFECT' WHEN s / n <= 0.0003 THEN 'REJECT_NO_EFFECT' END AS rejection_reason FROM co LEFT JOIN ev USING (condition)")
+             + " GROUP BY 1) SELECT condition, l.l AS \"left\", w.w AS \"window\", coalesce(n, 0)::BIGINT AS n, round(s / n, 6) AS mean_target, CASE WHEN coalesce(n, 0) < 500 THEN 'REJECT_LOW_SAMPLE' WHEN s / n < -0.0003 THEN 'REJECT_NEGATIVE_EFFECT' WHEN s / n <= 0.0003 THEN 'REJECT_NO_EFFECT' END AS rejection_reason FROM co LEFT JOIN ev USING (condition), (VALUES (2), (3)) l(l), (VALUES (4), (8)) w(w)")
     def _(s, sf):
         atoms, c = candidates(s)
         e = table(s, sf, "lineitem").withColumn("y", F.lit(0.05) - C("l_discount"))
-        d = H.evaluate_candidates(e, c.filter((C("left") == 2) & (C("window") == 4)), atoms, "y", max_conditions=3, minimum_sample=500, minimum_effect=0.0003)
-        return d.select("condition", "n", "mean_target", "rejection_reason")
+        d = H.evaluate_candidates(e, c, atoms, "y", max_conditions=3, minimum_sample=500, minimum_effect=0.0003)
+        return d.select("condition", "left", "window", "n", "mean_target", "rejection_reason")
 
     MEM = "m AS (SELECT o_orderkey AS candidate_id, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS fingerprint, o_orderpriority AS content, CASE WHEN o_orderkey > 0 THEN o_orderkey // 2 END AS parent_id, CASE WHEN o_orderstatus = 'P' THEN 'SURVIVES' ELSE 'REJECTED' END AS verdict, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS rejection_reason FROM orders)"
 
-    @cat.add("k04_memory_upsert", f"WITH {MEM}, old AS (SELECT * FROM m WHERE candidate_id % 3 <> 0), inc AS (SELECT candidate_id, fingerprint, CASE WHEN candidate_id % 7 = 0 THEN 'changed' ELSE content END AS content FROM m), p AS (SELECT DISTINCT fingerprint FROM old) SELECT inc.candidate_id, CASE WHEN old.content IS NOT NULL THEN CASE WHEN old.content = inc.content THEN 'NO_OP' ELSE 'CONFLICT' END WHEN p.fingerprint IS NOT NULL THEN 'DUPLICATE_FINGERPRINT' ELSE 'NEW' END AS action FROM inc LEFT JOIN old USING (candidate_id) LEFT JOIN p ON p.fingerprint = inc.fingerprint")
+    @cat.add("k04_memory_upsert", f"WITH {MEM}, old AS (SELECT * FROM m WHERE candidate_id % 3 <> 0), inc AS (SELECT candidate_id, fingerprint, CASE WHEN candidate_id % 7 = 0 THEN 'changed' ELSE content END AS content FROM m), p AS (SELECT DISTINCT fingerprint FROM old), fr AS (SELECT fingerprint, min(candidate_id) AS first FROM inc WHERE candidate_id NOT IN (SELECT candidate_id FROM old) GROUP BY 1) SELECT inc.candidate_id, CASE WHEN old.content IS NOT NULL THEN CASE WHEN old.content = inc.content THEN 'NO_OP' ELSE 'CONFLICT' END WHEN p.fingerprint IS NOT NULL OR inc.candidate_id <> fr.first THEN 'DUPLICATE_FINGERPRINT' ELSE 'NEW' END AS action FROM inc LEFT JOIN old USING (candidate_id) LEFT JOIN p ON p.fingerprint = inc.fingerprint LEFT JOIN fr ON fr.fingerprint = inc.fingerprint")
     def _(s, sf):
         m = memory(s, sf)
         inc = m.select("candidate_id", "fingerprint", F.when(C("candidate_id") % 7 == 0, "changed").otherwise(C("content")).alias("content"))

@@ -64,8 +64,8 @@ def register(cat):
     def _(s, sf): return Q.gap_report(indexed(s, sf, M15), M15)
 
     @cat.add("q06_import_counters", f"""WITH {TICKS}, u AS (SELECT symbol, ts, bid, ask, CASE WHEN seq % 2 = 0 THEN 'a' ELSE 'b' END AS file FROM fx_ticks UNION ALL SELECT symbol, ts, ask, bid, 'c' FROM fx_ticks WHERE seq % 10 = 0), k AS (
-        SELECT symbol, ts, count(*) AS n, count(*) FILTER (ask < bid) AS cr, count(DISTINCT file) AS f FROM u GROUP BY 1, 2)
-        SELECT symbol, CAST(sum(n) AS BIGINT) AS rows_read, CAST(sum(cr) AS BIGINT) AS crossed_quotes, CAST(sum(n) - sum(cr) AS BIGINT) AS rows_accepted, CAST(sum(n - 1) AS BIGINT) AS duplicate_events, count(*) FILTER (f > 1) AS cross_file_keys FROM k GROUP BY 1""")
+        SELECT symbol, ts, bid, ask, count(*) AS n, count(*) FILTER (NOT coalesce(bid > 0 AND ask > 0, false)) AS bad, count(*) FILTER (ask < bid AND ask > 0) AS cr, count(DISTINCT file) AS f FROM u GROUP BY 1, 2, 3, 4)
+        SELECT symbol, CAST(sum(n) AS BIGINT) AS rows_read, CAST(sum(bad) AS BIGINT) AS invalid_quotes, CAST(sum(cr) AS BIGINT) AS crossed_quotes, CAST(sum(bad) + sum(cr) AS BIGINT) AS rows_rejected, CAST(sum(n) - sum(bad) - sum(cr) AS BIGINT) AS rows_accepted, CAST(sum(n - 1) AS BIGINT) AS duplicate_events, count(*) FILTER (f > 1) AS cross_file_keys FROM k GROUP BY 1""")
     def _(s, sf):
         t = ticks(s, sf)
         a = t.select("symbol", "ts", "bid", "ask", F.when(C("seq") % 2 == 0, "a").otherwise("b").alias("file"))

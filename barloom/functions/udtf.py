@@ -35,7 +35,7 @@ def flatten_json_rows(df: DataFrame, text: str, ids: Sequence[str]) -> DataFrame
 
 # fixed values: scalar helpers registered for SQL; Catalyst inlines their bodies
 SQL_FUNCTIONS = {
-    "safe_ratio": "(n DOUBLE, d DOUBLE) RETURNS DOUBLE RETURN CASE WHEN d = 0 OR isnan(n) OR isnan(d) THEN NULL ELSE n / d END",
+    "safe_ratio": "(n DOUBLE, d DOUBLE) RETURNS DOUBLE RETURN CASE WHEN d <> 0 AND abs(n) < double('inf') AND abs(d) < double('inf') AND abs(try_divide(n, d)) < double('inf') THEN try_divide(n, d) END",
     "wilson_low": "(w DOUBLE, n DOUBLE, z DOUBLE) RETURNS DOUBLE RETURN CASE WHEN n > 0 THEN greatest(0.0D, (w / n + z * z / (2 * n) - z * sqrt(w / n * (1 - w / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)) END",
     "wilson_high": "(w DOUBLE, n DOUBLE, z DOUBLE) RETURNS DOUBLE RETURN CASE WHEN n > 0 THEN least(1.0D, (w / n + z * z / (2 * n) + z * sqrt(w / n * (1 - w / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)) END",
     "block_index": "(ts TIMESTAMP, zone STRING, minutes INT) RETURNS INT RETURN CAST(floor((hour(from_utc_timestamp(ts, zone)) * 60 + minute(from_utc_timestamp(ts, zone))) / minutes) AS INT)",

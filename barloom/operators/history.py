@@ -99,19 +99,25 @@ def evaluate_candidates(events: DataFrame, candidates: DataFrame, atoms: Sequenc
 
 
 def memory_upsert(memory: DataFrame, incoming: DataFrame, *, id: str = "candidate_id", fingerprint: str = "fingerprint", content: str = "content") -> DataFrame:
-    """Incoming rows classified NEW / NO_OP / CONFLICT / DUPLICATE_FINGERPRINT against memory."""
+    """Incoming rows classified NEW / NO_OP / CONFLICT / DUPLICATE_FINGERPRINT against memory and the batch itself.
+
+    An id with several contents in the batch is a conflict in all its rows. Of the ids new to memory that share a fingerprint the smallest is
+    NEW, the others are duplicates. Equal rows get equal actions; ``apply_upsert`` takes a repeated NEW row once.
+    """
     m = memory.select(id, C(content).alias("_old"))
-    by_print = memory.groupBy(fingerprint).agg(F.min(id).alias("_other"))
-    j = incoming.join(m, id, "left").join(by_print, fingerprint, "left")
-    action = (F.when(C("_old").isNotNull(), F.when(C("_old") == C(content), "NO_OP").otherwise("CONFLICT"))
-              .when(C("_other").isNotNull(), "DUPLICATE_FINGERPRINT").otherwise("NEW"))
+    known = memory.select(fingerprint).distinct().withColumn("_known", F.lit(True))
+    own = incoming.groupBy(id).agg((F.min(content) != F.max(content)).alias("_split"))
+    fresh = incoming.join(m.select(id), id, "left_anti").groupBy(fingerprint).agg(F.min(id).alias("_first"))
+    j = incoming.join(own, id, "left").join(m, id, "left").join(known, fingerprint, "left").join(fresh, fingerprint, "left")
+    action = (F.when(C("_split") | (C("_old") != C(content)), "CONFLICT").when(C("_old").isNotNull(), "NO_OP")
+              .when(C("_known") | (C(id) != C("_first")), "DUPLICATE_FINGERPRINT").otherwise("NEW"))
     return j.select(*incoming.columns, action.alias("action"))
 
 
 def apply_upsert(memory: DataFrame, classified: DataFrame) -> DataFrame:
     """Memory plus the NEW rows; a conflict fails the job."""
     fresh = classified.withColumn("_ok", F.when(C("action") == "CONFLICT", F.raise_error(F.lit("same id, different content"))).otherwise(C("action") == "NEW"))
-    return memory.unionByName(fresh.filter("_ok").select(*memory.columns))
+    return memory.unionByName(fresh.filter("_ok").select(*memory.columns).distinct())
 
 
 def children_of(memory: DataFrame, parent_id, parent: str = "parent_id", id: str = "candidate_id") -> DataFrame:

@@ -192,6 +192,8 @@ def near_duplicates(leaves: DataFrame, max_diff: int = 2, family: str = "family"
     at most ``max_diff`` leaves are masked on each side, so masked digests meet by equality
     and the exact count is tested after.  Copies of a spec are one row with their number.
     """
+    if max_diff not in (1, 2):
+        raise ValueError(f"max_diff is {max_diff}, masks hold one or two leaves")
     kv = F.struct("path", "value")
     whole = leaves.groupBy(family, spec).agg(F.array_sort(F.collect_list(kv)).alias("kv"))
     groups = whole.groupBy(family, "kv").agg(F.min(spec).alias("rep"), F.count("*").alias("copies"))

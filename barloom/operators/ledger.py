@@ -85,8 +85,9 @@ def ledger_summary(trades: DataFrame, by: Sequence[str] = ("ledger",), *, path:
     path = resolved_path(trades, value=value) if path is None else path
     v = C(value)
     counts = trades.groupBy(*by).agg(F.count("*").alias("total_trade_intents"), flag_count(C("status") == "REJECTED").alias("rejected_trades"))
-    days = F.datediff(F.max("exit_ts"), F.min("exit_ts"))
-    years = F.when(F.count("*") > 1, F.greatest(F.lit(1.0), days.cast("double"))).otherwise(DAYS_PER_YEAR) / DAYS_PER_YEAR
+    at = F.unix_micros(C("exit_ts").cast("timestamp"))
+    days = (F.max(at) - F.min(at)) / 86_400_000_000
+    years = F.when(F.count("*") > 1, F.greatest(F.lit(1.0), days)).otherwise(DAYS_PER_YEAR) / DAYS_PER_YEAR
     gain, loss = F.coalesce(F.sum(F.when(v > 0, v)), F.lit(0.0)), F.coalesce(F.sum(F.when(v < 0, v)), F.lit(0.0))
     g = path.groupBy(*by).agg(
         F.count("*").alias("resolved_trades"), flag_count(v > 0).alias("wins"), flag_count(v < 0).alias("losses"), flag_count(v == 0).alias("breakeven"),

@@ -79,13 +79,20 @@ def future_windows(bars: DataFrame, horizons=FUTURE_HORIZONS, pip: float | None
 
 def transition_outcomes(states: DataFrame, horizons=FUTURE_HORIZONS, state: str = "state", step: int = 900,
                         period_end=None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Long table (row, horizon): does the state change in the next h bars, and to what first."""
+    """Long table (row, horizon): does the state change in the next h bars, and to what first.
+
+    Bars without a state may lack inside a segment, so frames go by position. A row whose h following bars are not all there is excluded: for
+    want of observations if it can reach the symbol's last row without a break, else because of a gap.
+    """
+    last = states.groupBy("symbol").agg(F.max("pos").alias("_last"))
+
     def fn(d, w):
         items = []
         for h in horizons:
-            nxt = F.collect_list(state).over(w.rowsBetween(1, h))
+            nxt = F.collect_list(state).over(w.rangeBetween(1, h))
             other = F.filter(nxt, lambda x: x != C(state))
-            reason = _cut_reason(w, h, "insufficient_future_observations")
+            n = F.count("*").over(w.rangeBetween(1, h))
+            reason = F.when(n < h, F.when(n == C("_last") - C("pos"), "insufficient_future_observations").otherwise("gap_or_segment_boundary"))
             if period_end is not None:
                 late = F.unix_seconds("ts") + h * step >= F.unix_seconds(F.lit(period_end).cast("timestamp"))
                 reason = F.when(late, "period_end_boundary").otherwise(reason)
@@ -93,5 +100,5 @@ def transition_outcomes(states: DataFrame, horizons=FUTURE_HORIZONS, state: str
                                   F.when(reason.isNull(), F.size(other) > 0).alias("transition"),
                                   F.when(reason.isNull(), F.get(other, F.lit(0))).alias("destination")))
         return d.withColumn("_f", F.array(*items))
-    d = chunked(states, fn, 0, max(horizons), chunk_rows)
+    d = chunked(states.join(last, "symbol"), fn, 0, max(horizons), chunk_rows)
     return d.withColumn("_x", F.explode("_f")).select(*states.columns, "_x.*")

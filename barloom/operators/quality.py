@@ -178,15 +178,21 @@ def gap_report(indexed: DataFrame, step: int, large_minutes: int = 1440, keys: S
         n(~C("_exp") & ((C("_m") + 1) * (step // 60) >= large_minutes)).alias("large_gaps"))
 
 
-def import_counters(ticks: DataFrame, *, file: str = "file", key: Sequence[str] = ("symbol", "ts")) -> DataFrame:
-    """Row, duplicate, crossed, cross-file counters of an import, per symbol.
+def import_counters(ticks: DataFrame, *, file: str = "file", key: Sequence[str] = ("symbol", "ts", "bid", "ask")) -> DataFrame:
+    """Row, invalid, crossed, rejected, duplicate and cross-file counters of an import, per symbol.
 
-    The first aggregation runs per event key, so repeated events never meet in one task.
+    A quote is invalid without an instant or with a null, non-finite or non-positive price, crossed if valid with ask below bid; both are rejected.
+    Events repeat when the whole key does. The first aggregation runs per event key, so repeated events never meet in one task.
     """
-    crossed = F.sum(F.when(C("ask") < C("bid"), 1).otherwise(0))
-    per_key = ticks.groupBy(*key).agg(F.count("*").alias("n"), crossed.alias("crossed"), F.min(file).alias("f0"), F.max(file).alias("f1"))
+    good = lambda c: C(c).isNotNull() & ~F.isnan(c) & (C(c) > 0) & (C(c) < float("inf"))
+    valid = C("ts").isNotNull() & good("bid") & good("ask")
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    per_key = ticks.groupBy(*key).agg(F.count("*").alias("n"), n(~valid).alias("invalid"), n(valid & (C("ask") < C("bid"))).alias("crossed"),
+                                      F.min(file).alias("f0"), F.max(file).alias("f1"))
+    rejected = F.sum("invalid") + F.sum("crossed")
     return per_key.groupBy("symbol").agg(
-        F.sum("n").alias("rows_read"), F.sum("crossed").alias("crossed_quotes"), (F.sum("n") - F.sum("crossed")).alias("rows_accepted"),
+        F.sum("n").alias("rows_read"), F.sum("invalid").alias("invalid_quotes"), F.sum("crossed").alias("crossed_quotes"),
+        rejected.alias("rows_rejected"), (F.sum("n") - rejected).alias("rows_accepted"),
         F.sum(C("n") - 1).alias("duplicate_events"), F.sum(F.when(C("f0") != C("f1"), 1).otherwise(0)).alias("cross_file_keys"))
 
 

@@ -150,9 +150,8 @@ def write_event_view(events: DataFrame, path: str, predictors: Sequence[str]) ->
     The row index is the rank in time order.
     """
     from barloom.operators.timeline import number_rows
-    from barloom.plans.event_table import EVENT_ORDER
-    if any(p.startswith("y.") for p in predictors):
-        raise ValueError("targets cannot enter the event view")
+    from barloom.plans.event_table import EVENT_ORDER, predictors_only
+    predictors_only(events.select(*[C(f"`{c}`") for c in predictors]))
     base = ["meta.symbol", "meta.evidence_end_utc", "meta.reference_price", "x.anchor_kind", "x.geometry.family_id",
             "x.geometry.level_id", "meta.level_price"]
     order = ["`meta.evidence_end_utc`", *[f"`{c}`" for c in EVENT_ORDER if c != "meta.evidence_end_utc"]]

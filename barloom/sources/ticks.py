@@ -21,7 +21,7 @@ def ticks_to_bars(ticks: DataFrame, step: int, *, keys: Sequence[str] = ("symbol
     symbol costs one row per bucket and map task.
     """
     px = {"BID": F.col("bid"), "ASK": F.col("ask"), "MID": (F.col("bid") + F.col("ask")) / 2}[price]
-    spread = F.round(F.col("ask") - F.col("bid"), 2)
+    spread = F.col("ask") - F.col("bid")
     aggs = [F.min_by(px, "seq").alias("open"), F.max(px).alias("high"), F.min(px).alias("low"),
             F.max_by(px, "seq").alias("close"), F.count("*").alias("tick_volume"), F.max_by(spread, "seq").alias("spread")]
     if spread_stats:
@@ -70,7 +70,7 @@ def tick_hour_manifest(ticks: DataFrame, keys: Sequence[str] = ("symbol",)) -> D
     aggregation per timestamp so no hour is collected anywhere.
     """
     keys = list(keys)
-    spread = F.round(F.col("ask") - F.col("bid"), 2)
+    spread = F.col("ask") - F.col("bid")
     digest = F.xxhash64("seq", "ts", "bid", "ask")
     per_ts = (ticks.withColumn("hour", floor_ts("ts", 3600)).groupBy(*keys, "hour", "ts")
               .agg(F.count("*").alias("n"), F.min(spread).alias("lo"), F.max(spread).alias("hi"),

@@ -13,7 +13,7 @@ def stream_bars(ticks: DataFrame, step: int, delay: str = "10 minutes") -> DataF
 
     Later ticks are dropped by the watermark and counted by the query (``late_ticks``).
     """
-    spread = F.round(C("ask") - C("bid"), 2)
+    spread = C("ask") - C("bid")
     w = F.window("ts", f"{step} seconds")
     return (ticks.withWatermark("ts", delay).groupBy("symbol", w.alias("w"))
             .agg(F.min_by("bid", "seq").alias("open"), F.max("bid").alias("high"), F.min("bid").alias("low"),

@@ -94,3 +94,13 @@ def test_strict_pivots(spark):
         {"seg": F.lit(0).cast("long"), "seg_pos": F.col("pos"), "ts": F.timestamp_seconds(F.col("pos") * 60)})
     got = [(r.kind, r.pos) for r in S.confirmed_swings(d, chunk_rows=4).collect()]
     assert sorted(got) == [("HIGH", 2), ("LOW", 4)]
+
+
+def test_transitions_stop_at_missing_bars(spark):
+    from barloom.operators.outcomes import transition_outcomes
+    rows = [("A", 0 if p < 12 else 1, p, p % 3) for p in range(20) if p != 5]
+    d = spark.createDataFrame(rows, "symbol string, seg long, pos long, state long").withColumn("ts", F.timestamp_seconds(F.col("pos") * 900))
+    want = {p: None if {p + 1, p + 2} <= set(range(20)) - {5} and (p >= 12 or p < 10) else "insufficient_future_observations" if p >= 18 else "gap_or_segment_boundary" for p in range(20) if p != 5}
+    for chunk in (4, 7, 100):
+        got = {r.pos: r.exclusion for r in transition_outcomes(d, [2], chunk_rows=chunk).collect()}
+        assert got == want

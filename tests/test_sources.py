@@ -95,9 +95,34 @@ def test_hash_chain(spark):
 
 
 def test_outcome_guard(spark):
-    from barloom.plans.event_table import field_catalog, forbid_outcome_columns
+    from barloom.plans.event_table import field_catalog, predictors_only
     d = spark.range(1).select(F.col("id").alias("x.a"), F.col("id").alias("y.h1.close_change"))
     assert [r for _, r, _ in field_catalog(d)] == ["PREDICTOR", "TARGET"]
     for bad in (d, spark.range(1).select(F.col("id").alias("x.mfe"))):
         with pytest.raises(ValueError):
-            forbid_outcome_columns(bad)
+            predictors_only(bad)
+
+
+def test_import_counters(spark):
+    from barloom.operators import quality as Q
+    rows = [("S", 1, 1.10000, 1.10008, "a"), ("S", 1, 1.10001, 1.10008, "a"), ("S", 1, 1.10000, 1.10008, "b"), ("S", 2, None, 1.1, "a"), ("S", 2, -1.0, 1.1, "a"),
+            ("S", 3, 1.2, 1.1, "a"), ("S", None, 1.1, 1.2, "a")]
+    d = spark.createDataFrame(rows, "symbol string, t long, bid double, ask double, file string").withColumn("ts", F.timestamp_seconds("t"))
+    got = Q.import_counters(d).first()
+    assert (got.rows_read, got.invalid_quotes, got.crossed_quotes, got.rows_rejected, got.rows_accepted, got.duplicate_events, got.cross_file_keys) == (7, 3, 1, 4, 3, 1, 1)
+
+
+def test_small_spreads_are_kept(spark):
+    from barloom.sources.ticks import ticks_to_bars
+    d = spark.createDataFrame([("S", 1, 1.10000, 1.10008)], "symbol string, seq long, bid double, ask double").withColumn("ts", F.timestamp_seconds("seq"))
+    assert ticks_to_bars(d, 900).first().spread == pytest.approx(0.00008)
+
+
+def test_upsert_looks_inside_the_batch(spark):
+    from barloom.operators import history as H
+    kind = "candidate_id string, fingerprint string, content string"
+    memory = spark.createDataFrame([("m", "f0", "x")], kind)
+    inc = spark.createDataFrame([("a", "f1", "x"), ("a", "f1", "y"), ("b", "f2", "x"), ("c", "f2", "x"), ("d", "f0", "x"), ("m", "f0", "x"), ("e", "f3", "x"), ("e", "f3", "x")], kind)
+    d = H.memory_upsert(memory, inc)
+    assert {(r.candidate_id, r.action) for r in d.collect()} == {("a", "CONFLICT"), ("b", "NEW"), ("c", "DUPLICATE_FINGERPRINT"), ("d", "DUPLICATE_FINGERPRINT"), ("m", "NO_OP"), ("e", "NEW")}
+    assert sorted(r.candidate_id for r in H.apply_upsert(memory, d.filter("action <> 'CONFLICT'")).collect()) == ["b", "e", "m"]
