@@ -7,7 +7,8 @@ the exact Jaccard of the full sets verifies: linked is 100 * intersection >= per
 Equal sets are one class from the start, so copies never meet each other. In the inverted lists a class stands only under its rarest values:
 two sketches that overlap by ``need`` values share one of their (size - need + 1) rarest. ``need`` lies five standard deviations below the
 overlap of a pair that just links, so common passages make no lists (sketches that hold their whole set: the least that the sizes allow). A list is first compared with one member, its pivot; what is in one
-component by then needs no comparison, and all pairs of different components that are left follow. Sizes and parity maps of the full sets rule
+component by then needs no comparison. Two rounds follow in which each list still apart has a pivot of its own, drawn by hash, so that the many lists
+of a large group join it from many sides; then come all pairs of different components that are left. Sizes and parity maps of the full sets rule
 out most pairs in the join itself. No link is lost: each pair in a list was either
 verified or had its ends in one component already.
 
@@ -30,6 +31,7 @@ K = 128
 BITS = 1024  # of the parity map of a set
 WORDS = 5
 PERCENT = 80
+PIVOT_ROUNDS = 2
 CACHE_WORDS = 500_000
 SLICE = 256
 
@@ -178,13 +180,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tested = stage(met.groupBy("rep").agg(F.min("a").alias("a")).select("a", C("rep").alias("b")))
     links = stage(verified(tested, reps, sets, percent, k, floor))
 
-    # then the other pivots, then all pairs of a list whose ends are still apart
-    for all_pairs in (False, True):
+    # then a pivot of its own for each list, drawn anew in each round, then all pairs of a list whose ends are still apart
+    for draw in (*range(PIVOT_ROUNDS), None):
         roots = components(links)
         at = index.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", "bits", F.coalesce("root", "rep").alias("root"))
-        apart = at.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rep").alias("lead")).filter("lo <> hi")
+        apart = at.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("rep", F.xxhash64("rep", "value", F.lit(draw or 0))).alias("lead")).filter("lo <> hi")
         left = at.join(apart.select("value", "lead"), "value")
-        if all_pairs:
+        if draw is None:
             # a size class is as wide as the sizes of a link may differ: the larger of two linked sets is in the smaller one's class or the next
             kind = F.floor(F.log(C("n").cast("double")) / math.log(100 / percent)).cast("int")
             left, key = left.withColumn("kind", kind), ["value", "kind"]
