@@ -154,7 +154,9 @@ def first_hit(queries: DataFrame, tree: list[DataFrame], start: str, cond: Calla
     first = lambda items, ok: F.array_min(F.transform(F.filter(items, ok), lambda x: x["id"]))
     d = queries
     # misses get distinct negative keys: one shared null key would skew the join
-    spread = -1 - F.pmod(F.xxhash64(start), F.lit(4096))
+    # (hashed over the whole row: rows without a start would otherwise share one)
+    plain = [C(f"`{c}`") for c, kind in queries.dtypes if "map<" not in kind and kind != "variant"]
+    spread = -1 - F.pmod(F.xxhash64(*plain), F.lit(1 << 20))
 
     def look(d, level, parent, ok, out):
         parent = F.coalesce(parent, spread)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.functions.calendar import WeekProfile, classify_gap, weekday
 from barloom.functions.scalars import finite
+from barloom.operators.stats import join_ns, quantiles
 from barloom.operators.timeline import epoch, index_bars, running
 
 C = F.col
@@ -214,11 +215,12 @@ def provider_summary(j: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFra
     sgn = lambda s: F.signum(C(f"{s}.close") - C(f"{s}.open"))
     ra, rb = (F.when(both, C(f"{s}.high") - C(f"{s}.low")) for s in "ab")
     flat = (F.stddev_pop(ra) == 0) | (F.stddev_pop(rb) == 0)
-    return j.groupBy(*keys).agg(
+    middle = quantiles(j.filter("close_abs IS NOT NULL"), keys, "close_abs", {"close_median": 0.5, "close_p95": 0.95})
+    sums = j.groupBy(*keys).agg(
         n(both).alias("matched"), n(C("presence") == "left_only").alias("missing_right"), n(C("presence") == "right_only").alias("missing_left"),
         F.avg(F.when(both, (sgn("a") == sgn("b")).cast("double"))).alias("direction_agreement"),
-        F.when(~flat, F.corr(ra, rb)).alias("range_correlation"), F.percentile("close_abs", 0.5).alias("close_median"),
-        F.percentile("close_abs", 0.95).alias("close_p95"), F.max("close_abs").alias("close_max"))
+        F.when(~flat, F.corr(ra, rb)).alias("range_correlation"), F.max("close_abs").alias("close_max"))
+    return join_ns(sums, middle, keys, "left")
 
 
 def history_extent(indexed: DataFrame, step: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:

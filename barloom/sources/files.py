@@ -121,12 +121,16 @@ def table_fingerprint(df: DataFrame, pos: str, chunk_rows: int = 1024) -> DataFr
     """SHA-256 of an ordered table: row digests, chunk digests, digest of chunk digests.
 
     A chunk holds at most ``chunk_rows`` digests, and the last level one per chunk, so the
-    result does not depend on partitioning; levels repeat until one row remains.
+    result does not depend on partitioning; levels repeat until one row remains, four times
+    at least.  Reads the last position first to know how many levels that takes.
     """
     cols = [C(f"`{c}`") for c in df.columns]
     row = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"}), 256)
     level = df.select(C(pos).cast("long").alias("p"), row.alias("h"), F.lit(1).cast("long").alias("n"))
-    for _ in range(4):  # 1024^4 rows
+    last, levels = df.agg(F.max(C(pos).cast("long"))).first()[0] or 0, 4
+    while chunk_rows ** levels <= last:
+        levels += 1
+    for _ in range(levels):
         level = (level.groupBy(F.floor(C("p") / F.lit(chunk_rows)).alias("p"))
                  .agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256).alias("h"),
                       F.sum("n").alias("n")))
