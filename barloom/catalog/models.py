@@ -7,7 +7,7 @@ from barloom.catalog.windows import atr_sql
 from barloom.operators import models as M, stats as S, windows as X
 
 C = F.col
-D = 14
+D = 64
 V = [f"v{i:02d}" for i in range(D)]
 # fixed values: a three-component mixture built from a rule
 PARAMS = dict(weights=[0.5, 0.3, 0.2], means=[[((k * 7 + i * 3) % 5 - 2) * 0.05 for i in range(D)] for k in range(3)],
@@ -50,7 +50,7 @@ def fitted(s, sf):
     m = matrix(s, sf)
     enc = M.encode_categories(m, M.category_vocabulary(m, CAT), CAT)
     enc = staged_levels(s, sf, "encoded", lambda: enc)
-    model, inputs = M.fit_boosted_regression(enc, NUM, CAT, maxIter=8)
+    model, inputs = M.fit_boosted_regression(enc, NUM, CAT)
     return enc, model, inputs
 
 

@@ -49,8 +49,12 @@ def encode_categories(matrix: DataFrame, vocabulary: DataFrame, categorical: Seq
 BOOST = dict(maxIter=64, stepSize=0.05, maxDepth=4, minInstancesPerNode=10, seed=1729)
 
 
-def fit_boosted_regression(encoded: DataFrame, numeric: Sequence[str], categorical: Sequence[str], *, max_categories: int = 32, **settings):
-    """Gradient-boosted trees; missing numerics become a median-imputed value plus an indicator."""
+def fit_boosted_regression(encoded: DataFrame, numeric: Sequence[str], categorical: Sequence[str], **settings):
+    """Gradient-boosted trees; missing numerics become a median-imputed value plus an indicator.
+
+    Every categorical input stays categorical, whatever its number of codes (``maxBins`` grows with
+    the widest one), and every numeric input stays a number, however few values it has.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler, VectorIndexer
     from pyspark.ml.regression import GBTRegressor
@@ -61,11 +65,18 @@ def fit_boosted_regression(encoded: DataFrame, numeric: Sequence[str], categoric
     stages = [SQLTransformer(statement=f"SELECT *, {named} FROM __THIS__")]
     if num:
         stages.append(Imputer(strategy="median", inputCols=num, outputCols=[f"{c}_filled" for c in num]))
-    inputs = [f"{c}_filled" for c in num] + [f"{c}_missing" for c in num] + [safe[c] for c in categorical]
-    stages += [VectorAssembler(inputCols=inputs, outputCol="raw_features"),
-               VectorIndexer(inputCol="raw_features", outputCol="features", maxCategories=max_categories, handleInvalid="keep"),
-               GBTRegressor(labelCol="y", featuresCol="features", predictionCol="predicted", **{**BOOST, **settings})]
-    model = Pipeline(stages=stages).fit(encoded.filter("observed"))
+    inputs = [f"{c}_filled" for c in num] + [f"{c}_missing" for c in num]
+    observed, bins = encoded.filter("observed"), 32
+    if categorical:
+        # codes run from 0, so the highest bounds their number; one more is for codes not seen in the fit
+        codes = 1 + max(v or 0 for v in observed.agg(*[F.max(f"`{c}`") for c in categorical]).first())
+        bins = max(bins, int(codes) + 1)
+        stages += [VectorAssembler(inputCols=[safe[c] for c in categorical], outputCol="codes"),
+                   VectorIndexer(inputCol="codes", outputCol="categories", maxCategories=max(2, int(codes)), handleInvalid="keep")]
+        inputs = [*inputs, "categories"]
+    stages += [VectorAssembler(inputCols=inputs, outputCol="features"),
+               GBTRegressor(labelCol="y", featuresCol="features", predictionCol="predicted", **{**BOOST, "maxBins": bins, **settings})]
+    model = Pipeline(stages=stages).fit(observed)
     model_inputs = [*numeric, *[f"{c} is missing" for c in numeric], *categorical]
     return model, model_inputs
 
