@@ -3,20 +3,25 @@
 Windows of 13 words are the edges of a De Bruijn graph over words. An edge is named by the first place where it occurs, its source coordinate
 (smallest document id, then position). Edges that occur in a document with a larger id are repeated; where such edges follow each other both
 in the document and at the source, without a branch, they compact into one span (document, start, source document, source start). Words
-covered by repeated edges are removed, judged on the input. A span counts only if the text at its place gives the span's own checksum.
+covered by repeated edges are removed, judged on the input. A span counts only if the words at its place have the digest of the words at its source;
+where they differ, each of its windows is compared by itself.
 
 To keep edges together without moving each alone, windows travel in runs: consecutive windows that share the smallest hash among their six-word
 sequences (their minimizer) form one row, and equal windows always have equal minimizers. Runs whose minimizer occurs in one document only end there.
-An edge's identity has 96 bits: 64 of the minimizer and 32 of the window.
+An edge is named by the minimizer and a 64-bit hash of the whole window, so windows that share a hot minimizer are told apart by 64 bits.
 
 Defined cases: null text has no words; texts of fewer than 13 words lose nothing; rows with a null id neither lend nor lose; rows with equal id are
 never each other's source; repeats inside one document stay; an empty table gives an empty result; extra columns are not read.
 """
 from __future__ import annotations
 
+import gc
+import hashlib
+import time
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from barloom.llm.common import C
 from barloom.llm.near_dedup import SLICE, WordHashes, sequence_hashes
@@ -31,7 +36,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
-    return (sequence_hashes(words, window) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return sequence_hashes(words, window).view(np.int64)
+
+
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def window_runs(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,40 +74,82 @@ def runs(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(pos)), lists], names=["v", "doc", "pos", "hs"])
 
     rows = docs.filter(C(id_col).isNotNull()).select(C(id_col).cast("long").alias("doc_id"), C(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "v long, doc long, pos int, hs array<int>")
+    return rows.mapInArrow(run, "v long, doc long, pos int, hs array<long>")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, start, n_words, src_doc, src_start, checksum) of the compacted spans; they may overlap."""
+    """(doc, start, n_words, src_doc, src_start) of the compacted spans, by hashes only; they may overlap."""
     by_v = W.partitionBy("v")
     shared = runs(docs, id_col, text_col, window, anchor).withColumns({"lo": F.min("doc").over(by_v), "hi": F.max("doc").over(by_v)}).filter("lo < hi")
     edges = shared.select("v", "doc", "pos", F.posexplode("hs").alias("i", "h")).select("v", "h", "doc", (C("pos") + C("i")).alias("pos"))
-    edges = edges.withColumn("src", F.min(F.struct("doc", "pos")).over(W.partitionBy("v", "h"))).filter("src.doc < doc").select("doc", "pos", "h", C("src.doc").alias("src_doc"), C("src.pos").alias("src_pos"))
+    edges = edges.withColumn("src", F.min(F.struct("doc", "pos")).over(W.partitionBy("v", "h"))).filter("src.doc < doc").select("doc", "pos", C("src.doc").alias("src_doc"), C("src.pos").alias("src_pos"))
     along = W.partitionBy("doc").orderBy("pos", "src_doc", "src_pos")
     follows = (F.lag("pos").over(along) + 1 == C("pos")) & (F.lag("src_doc").over(along) == C("src_doc")) & (F.lag("src_pos").over(along) + 1 == C("src_pos"))
     paths = edges.withColumn("head", F.when(follows, 0).otherwise(1)).withColumn("path", F.sum("head").over(along.rowsBetween(W.unboundedPreceding, 0)))
-    spans = paths.groupBy("doc", "path").agg(F.min("pos").alias("start"), F.max("pos").alias("last"), F.first("src_doc").alias("src_doc"), F.min("src_pos").alias("src_start"), F.sum(C("h").cast("long")).alias("checksum"))
-    return spans.select("doc", "start", (C("last") - C("start") + window).alias("n_words"), "src_doc", "src_start", "checksum")
+    spans = paths.groupBy("doc", "path").agg(F.min("pos").alias("start"), F.max("pos").alias("last"), F.first("src_doc").alias("src_doc"), F.min("src_pos").alias("src_start"))
+    return spans.select("doc", "start", (C("last") - C("start") + window).alias("n_words"), "src_doc", "src_start")
+
+
+def slice_digests(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, start, n_words, src_doc, src_start, digest) of the words at the spans, and with null source those at the distinct sources."""
+    own = spans.select(C("doc").alias("of"), C("start").alias("at"), "n_words", "src_doc", "src_start")
+    source = spans.select(C("src_doc").alias("of"), C("src_start").alias("at"), "n_words").distinct().withColumns({"src_doc": F.lit(None).cast("long"), "src_start": F.lit(None).cast("int")})
+    wanted = own.unionByName(source).groupBy("of").agg(F.collect_list(F.struct("at", "n_words", "src_doc", "src_start")).alias("slices"))
+
+    def run(batches):
+        for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
+            rows = []
+            for i, text, slices in zip(*(c.to_pylist() for c in batch.columns)):
+                words = words_of(text)
+                rows += [(i, s["at"], s["n_words"], s["src_doc"], s["src_start"], digest(words[s["at"]:s["at"] + s["n_words"]])) for s in slices if s["at"] + s["n_words"] <= len(words)]
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc", "start", "n_words", "src_doc", "src_start", "digest"])
+
+    rows = docs.select(C(id_col).cast("long").alias("doc_id"), C(text_col).cast("string").alias("text")).join(wanted, C("doc_id") == C("of"))
+    return rows.select("doc_id", "text", "slices").mapInArrow(run, "doc long, start int, n_words int, src_doc long, src_start int, digest binary")
+
+
+def verified_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(doc, start, n_words, digest) of the spans whose words are those at their source; of the others, the single windows of which that holds."""
+    def compared(spans):
+        slices = stage(slice_digests(docs, spans, id_col, text_col))
+        source = slices.filter("src_doc IS NULL").select(C("doc").alias("src_doc"), C("start").alias("src_start"), "n_words", "digest", F.lit(True).alias("same"))
+        return stage(slices.filter("src_doc IS NOT NULL").join(source, ["src_doc", "src_start", "n_words", "digest"], "left"))
+
+    found = compared(spans)
+    same, apart = found.filter("same"), found.filter("same IS NULL").filter(C("n_words") > window)
+    if not apart.isEmpty():
+        singles = apart.withColumn("i", F.explode(F.sequence(F.lit(0), C("n_words") - window))).select("doc", (C("start") + C("i")).alias("start"), F.lit(window).alias("n_words"), "src_doc", (C("src_start") + C("i")).alias("src_start"))
+        same = same.unionByName(compared(singles).filter("same"))
+    return same.select("doc", "start", "n_words", "digest")
+
+
+def _release(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go now, not when the driver happens to collect its garbage; the first round only lets go of the plans."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, n_words, n_removed, text): each document without its repeated words, the others joined by one space."""
     spans = stage(repeated_spans(docs, id_col, text_col, window, anchor))
-    per_doc = spans.groupBy(C("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "n_words", "checksum")).alias("spans"))
+    _release(docs.sparkSession)
+    per_doc = verified_spans(docs, spans, id_col, text_col, window).groupBy(C("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "n_words", "digest")).alias("spans"))
 
     def run(batches):
-        hashes = WordHashes()
         for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
             n, removed, kept = [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = words_of(text)
                 n.append(len(words))
-                if found and len(words) >= window:
-                    sums = np.concatenate([[0], np.cumsum(window_hashes(hashes.of(words), window).astype(np.int64))])
+                if found:
                     gone = np.zeros(len(words), bool)
                     for s in found:
                         end = s["start"] + s["n_words"]
-                        if end <= len(words) and sums[end - window + 1] - sums[s["start"]] == s["checksum"]:
+                        if end <= len(words) and digest(words[s["start"]:end]) == s["digest"]:
                             gone[s["start"]:end] = True
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 removed.append(n[-1] - len(words))

@@ -2,6 +2,8 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from barloom.llm import near_dedup, substring_dedup
 
 SCHEMA = "doc_id long, text string, set string, rep int"
@@ -120,3 +122,26 @@ def test_repeats_null_and_equal_ids(spark):
     got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [("1", 20, 0), ("1", 20, 0), ("2", 15, 0), ("2", 21, 20), ("None", 20, 0)]
     assert substring_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_windows_of_a_hot_minimizer_need_more_than_32_bits(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [b"w%d" % i for i in range(4000)]
+    known = near_dedup.WordHashes().of(vocabulary)
+    common = rng.integers(0, 4000, 1_000_006)
+    at = int(near_dedup.sequence_hashes(known[common], 6).argmin())  # six words that are nearly always the minimizer
+    rows = np.concatenate([np.tile(common[at:at + 6], (400_000, 1)), rng.integers(0, 4000, (400_000, 7))], 1)
+    half = near_dedup.sequence_hashes(known[rows].T, 13).ravel() >> np.uint64(32)
+    order = np.argsort(half, kind="stable")
+    pairs = [(order[i], order[i + 1]) for i in np.flatnonzero(half[order][1:] == half[order][:-1])]
+    assert pairs
+    texts = [" ".join(vocabulary[w].decode() for w in rows[i]) for pair in pairs for i in pair]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(set(texts)) == len(texts) == len(got) and all(r.n_removed == 0 for r in got)
+
+
+def test_spans_are_held_against_their_source(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(40))), (2, " ".join(f"a{i}" if i != 20 else "other" for i in range(40))), (3, "b " * 40)], "doc_id long, text string")
+    spans = spark.createDataFrame([(2, 0, 40, 1, 0), (2, 0, 20, 1, 0), (3, 0, 13, 1, 5), (3, 0, 30, 1, 5)], "doc long, start int, n_words int, src_doc long, src_start int")
+    got = {(r.doc, r.start, r.n_words) for r in substring_dedup.verified_spans(docs, spans).collect()}
+    assert got == {(2, 0, 20)} | {(2, i, 13) for i in [*range(8), *range(21, 28)]}
