@@ -168,16 +168,15 @@ def register(cat):
         i = intents(s, sf).select("intent_id", "rule_id")
         return G.fill_profile(ledger(s, sf).filter("status = 'CLOSED'").join(i, "intent_id"), 0.01, ["rule_id", "exit_reason"])
 
-    # few replicates keep the SQL twin affordable; every replicate uses all rows
-    N = 20
+    N = 2000  # replicates, as the operators' default; every replicate uses all rows
     pathq = f"""WITH {PATH}, nn AS (SELECT count(*) AS n FROM c), dr AS (SELECT r.range AS rep, c.idx AS j, %s AS src FROM c, nn, range({N}) r), sm AS (SELECT dr.rep, dr.j, c.net_r FROM dr JOIN c ON c.idx = dr.src), eq AS (SELECT rep, j, net_r, sum(net_r) OVER (PARTITION BY rep ORDER BY j) AS e FROM sm), pk AS (SELECT *, greatest(0, max(e) OVER (PARTITION BY rep ORDER BY j)) - e AS dd FROM eq)
         SELECT rep AS replicate, round(avg(net_r), 4) AS mean_r, round(sum(net_r), 4) AS end_r, round(max(dd), 4) AS max_drawdown_r FROM pk GROUP BY 1"""
 
     @cat.add("h19_iid_bootstrap", pathq % f"{mix_sql(42, 'r.range', 'c.idx')} % n", digits=4)
-    def _(s, sf): return R.path_bootstrap(path(s, sf), replicates=N)
+    def _(s, sf): return R.path_bootstrap(path(s, sf))
 
     @cat.add("h19_block_bootstrap", pathq % f"({mix_sql(42, 'r.range', 'c.idx // 5')} % n + c.idx % 5) % n", digits=4)
-    def _(s, sf): return R.path_bootstrap(path(s, sf), replicates=N, block_length=5)
+    def _(s, sf): return R.path_bootstrap(path(s, sf), block_length=5)
 
     @cat.add("h20_permutation_drawdown", f"WITH {PATH}, ks AS (SELECT r.range AS rep, idx, net_r, {mix_sql(42, 'r.range', 'c.idx')} AS k FROM c, range({N}) r), eq AS (SELECT *, sum(net_r) OVER (PARTITION BY rep ORDER BY k, idx) AS e FROM ks), pk AS (SELECT *, greatest(0, max(e) OVER (PARTITION BY rep ORDER BY k, idx)) - e AS dd FROM eq) SELECT rep AS replicate, round(max(dd), 4) AS max_drawdown_r FROM pk GROUP BY 1", digits=4)
-    def _(s, sf): return R.permutation_drawdowns(path(s, sf), replicates=N)
+    def _(s, sf): return R.permutation_drawdowns(path(s, sf))

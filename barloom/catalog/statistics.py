@@ -172,7 +172,7 @@ def register(cat):
     @cat.add("h16_transition_comparisons", TR + ", q AS (SELECT horizon, scope, tr, unnest([{'target': 'er', 'value': er}, {'target': 'state_age', 'value': age::DOUBLE}], recursive := true) FROM ts WHERE tr IS NOT NULL), k AS (SELECT horizon, scope, target, CASE WHEN tr THEN 0 ELSE 1 END AS g, count(value) AS n, avg(value) AS m, var_samp(value) AS v, quantile_cont(value, 0.5) AS d FROM q GROUP BY 1, 2, 3, 4) SELECT * EXCLUDE (a, b) FROM (" + EFF("k", "horizon, scope, target", "v") + ")")
     def _(s, sf): return S.transition_comparisons(trans(s, sf), ["er", "state_age"])
 
-    B = 200
+    B = 2000
 
     @cat.add("h17_block_bootstrap", TR + f""", rows AS (SELECT horizon, symbol, seg, blk, er, tr FROM tw WHERE tr IS NOT NULL), bk AS (SELECT symbol, day, row_number() OVER (ORDER BY symbol, day) - 1 AS no FROM (SELECT DISTINCT symbol, CAST(ts AS date) AS day FROM tw WHERE tr IS NOT NULL)), nb AS (SELECT count(*) AS n FROM bk),
         dr AS (SELECT r.range AS rep, {mix_sql(42, 'r.range', 'bk.no')} % n AS no FROM bk, nb, range({B}) r), wt AS (SELECT rep, no, count(*) AS w FROM dr GROUP BY 1, 2), st AS (SELECT horizon, symbol, CAST(ts AS date) AS day, sum(CASE WHEN tr THEN 1.0 ELSE 0 END) AS n1, sum(CASE WHEN tr THEN er ELSE 0 END) AS s1, sum(CASE WHEN tr THEN 0 ELSE 1.0 END) AS n0, sum(CASE WHEN tr THEN 0 ELSE er END) AS s0 FROM tw WHERE tr IS NOT NULL GROUP BY 1, 2, 3),
@@ -180,12 +180,12 @@ def register(cat):
         SELECT horizon, round(quantile_cont(diff, 0.025), 5) AS difference_low, round(quantile_cont(diff, 0.975), 5) AS difference_high, count(diff) AS difference_defined FROM rp GROUP BY 1 HAVING count(diff) >= 2""", digits=5)
     def _(s, sf):
         d = trans(s, sf).filter("transition is not null").withColumn("day", F.to_date("ts"))
-        return R.block_bootstrap_effects(d, ["horizon"], ["symbol", "day"], C("transition"), "er", replicates=B).select("horizon", "difference_low", "difference_high", "difference_defined")
+        return R.block_bootstrap_effects(d, ["horizon"], ["symbol", "day"], C("transition"), "er").select("horizon", "difference_low", "difference_high", "difference_defined")
 
-    @cat.add("h18_day_bootstrap", f"""WITH {OT}, bk AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS no FROM (SELECT DISTINCT entry_ts AS day FROM ot)), nb AS (SELECT count(*) AS n FROM bk), dr AS (SELECT r.range AS rep, {mix_sql(42, 'r.range', 'bk.no')} % n AS no FROM bk, nb, range(100) r), wt AS (SELECT rep, no, count(*) AS w FROM dr GROUP BY 1, 2),
+    @cat.add("h18_day_bootstrap", f"""WITH {OT}, bk AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS no FROM (SELECT DISTINCT entry_ts AS day FROM ot)), nb AS (SELECT count(*) AS n FROM bk), dr AS (SELECT r.range AS rep, {mix_sql(42, 'r.range', 'bk.no')} % n AS no FROM bk, nb, range(2000) r), wt AS (SELECT rep, no, count(*) AS w FROM dr GROUP BY 1, 2),
         st AS (SELECT symbol, entry_ts AS day, count(*) AS n, sum(profit) AS s, count(*) FILTER (profit > 0) AS k, coalesce(sum(profit) FILTER (profit > 0), 0) AS sw FROM ot GROUP BY 1, 2), rp AS (SELECT symbol, rep, sum(n * w) AS n, sum(s * w) AS s, sum(k * w) AS k, sum(sw * w) AS sw FROM st JOIN bk USING (day) JOIN wt USING (no) GROUP BY 1, 2),
         lg AS (SELECT symbol, unnest([{{'statistic': 'win_rate', 'v': k / n}}, {{'statistic': 'expectancy', 'v': s / n}}, {{'statistic': 'win_loss_gap', 'v': sw / k - (s - sw) / (n - k)}}], recursive := true) FROM rp) SELECT symbol, statistic, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS defined FROM lg GROUP BY 1, 2""")
-    def _(s, sf): return R.day_bootstrap_performance(outcome_trades(s, sf), ["symbol"], replicates=100)
+    def _(s, sf): return R.day_bootstrap_performance(outcome_trades(s, sf), ["symbol"])
 
     @cat.add("h21_state_by_outcome", f"WITH {OT} SELECT outcome, state, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY outcome), 6) AS share FROM ot GROUP BY 1, 2")
     def _(s, sf): return G.outcome_state_comparison(outcome_trades(s, sf), "outcome", "state", "hold")[0]

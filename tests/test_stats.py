@@ -1,10 +1,12 @@
 """Rank statistics against brute force, with the large-group path forced on."""
+import inspect
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import joins as J, ledger as G, stats as S
+from barloom.operators import joins as J, ledger as G, models as M, resample as R, stats as S
 
 
 @pytest.fixture
@@ -92,3 +94,40 @@ def test_near_duplicates_match_pairs(spark):
             if i < j and 0 < diff <= 2:
                 want[(i, j)] = diff
     assert got == want
+
+
+def test_undefined_intervals_stay_with_null_limits(spark):
+    p = pd.DataFrame([(g, b, o, float(v)) for g, b, o, v in [("a", 0, True, 1), ("a", 0, False, 3), ("a", 1, True, 2), ("a", 1, False, 7), ("b", 0, True, 5), ("b", 1, True, 6), (None, 0, True, 1), (None, 1, False, 4)]], columns=["g", "b", "one", "v"])
+    got = {r.g: r for r in R.block_bootstrap_effects(spark.createDataFrame(p, "g string, b int, one boolean, v double"), ["g"], ["b"], F.col("one"), "v", replicates=200).collect()}
+    assert set(got) == {"a", "b", None} and got["b"].difference_defined == 0 and got["b"].difference_low is None and got["b"].cohens_d_low is None
+    assert (got["a"].difference_low, got["a"].difference_high, got["a"].difference_defined) == (-5.0, -2.0, 200)
+    assert 0 < got[None].difference_defined < 200 and got[None].difference_low == got[None].difference_high == -3.0
+
+
+@pytest.mark.parametrize("name, settings", [("h17_block_bootstrap", 2000), ("h18_day_bootstrap", 2000), ("h19_iid_bootstrap", 2000), ("h19_block_bootstrap", 2000), ("h20_permutation_drawdown", 2000),
+                                            ("j08_gmm_fit", dict(n_init=5, max_iter=100)), ("j09_select_k", dict(n_init=5, max_iter=100, ks=range(2, 9))), ("j10_label_stability", dict(seeds=range(5), max_iter=50))])
+def test_registered_resampling_and_mixtures_use_the_operators_settings(spark, monkeypatch, name, settings):
+    from barloom.catalog import load
+    seen = {}
+
+    def recorded(module, function):
+        signature = inspect.signature(getattr(module, function))
+
+        def call(*args, **kw):
+            bound = signature.bind(*args, **kw)
+            bound.apply_defaults()
+            seen.update(bound.arguments)
+            seen.update(seen.pop("kw", {}))
+            raise InterruptedError
+        monkeypatch.setattr(module, function, call)
+    for function in ("block_bootstrap_effects", "day_bootstrap_performance", "path_bootstrap", "permutation_drawdowns"):
+        recorded(R, function)
+    for function in ("gmm_fit", "label_stability"):
+        recorded(M, function)
+    if name == "j09_select_k":
+        monkeypatch.setattr(M, "gmm_fit", lambda *a, **kw: (None, dict(zip(("k", "n", "ll", "bic", "aic", "occ", "it"), (a[2], 1, 1.0, 1.0, 1.0, 1.0, 1)))) if not kw else pytest.fail(str(kw)))
+        assert [r.k for r in load().queries[name](spark, "/root/testdata/sf0.001").collect()] == list(settings["ks"])
+        return
+    with pytest.raises(InterruptedError):
+        load().queries[name](spark, "/root/testdata/sf0.001")
+    assert seen["replicates"] == settings if isinstance(settings, int) else all(list(seen[k]) == list(v) if isinstance(v, range) else seen[k] == v for k, v in settings.items())
