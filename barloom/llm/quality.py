@@ -2,10 +2,12 @@
 
 Ratings are grades 0, 1, 2, ... One linear score of hashed text features is shared by all of them, and ordered thresholds cut it into grades:
 P(grade > k) = sigmoid(score - threshold_k). A document gets its expected grade and the tail probability of the grade that is asked for, and is
-kept if that reaches ``LEAST``. For ``labels`` the grade is 0 for poor quality, 1 for good but toxic, 2 for good and clean.
+kept if that reaches the model's ``least``: of the values that keep ``STAY`` of the highest grade in a held-out fifth of the sample, the smallest
+that keeps fewest of the others there (``LEAST`` if the fifth has too few of the highest grade); the model is then fitted on the whole sample. For ``labels`` the grade is 0 for poor quality, 1 for good but toxic, 2 for good and clean.
 
 Features are 26-bit hashes of the whole text's words (presence), word shapes (log of the count, and the decile of their share), repeats of the
-word before, share of distinct words and length. The fit takes features whose rate differs between the two sides of a threshold in the sample.
+word before, share of distinct words and length. The fit takes all features whose rate differs between the two sides of a threshold, or between one
+grade and the rest, in the sample.
 
 The fit reads at most ``MAX_LABELS`` labelled documents, those of the smallest hash of the id, so that the driver holds a bounded sample.
 
@@ -29,13 +31,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.llm.common import C
 
-MAX_LABELS = 8000
+MAX_LABELS = 20000
 GRADES = 3
 LEAST = 0.5
+STAY = 0.995
+MIN_HELD = 100  # held-out documents of the highest grade that the choice of the bound needs
 HASH_BITS = 26
-MIN_DOCS = 4
+MIN_DOCS = 2
 MIN_Z = 4.0
-MAX_FEATURES = 2000  # of the model, those that tell grades apart best
 CACHE_WORDS = 300_000
 SLICE = 256
 
@@ -101,6 +104,7 @@ class OrdinalModel:
     weights: dict[int, float]
     thresholds: list[float]
     only: int = GRADES - 1
+    least: float = LEAST
 
     def grade(self, feats: dict[int, float]) -> tuple[float, list[float]]:
         """Expected grade and P(grade > k) for each k."""
@@ -112,7 +116,21 @@ class OrdinalModel:
         return sum(tails), tails
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, penalty: float = 0.5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+class Sparse:
+    """Documents x features as (document, feature, value), with the two products that the fit needs."""
+    __array_ufunc__ = None  # so that arrays leave the product to __rmatmul__
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.row, self.col, self.value, self.shape = row, col, value, shape
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], self.shape[0])
+
+    def __rmatmul__(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * g[self.row], self.shape[1])
+
+
+def fit_ordinal(x: np.ndarray | Sparse, y: np.ndarray, grades: int, penalty: float = 0.5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link model by full gradient steps with running scales; x is (documents x features)."""
     m, n = x.shape
     above = np.array([np.clip((y > k).mean(), 1e-3, 1 - 1e-3) for k in range(grades - 1)])
@@ -174,26 +192,51 @@ def fit(docs: DataFrame, ratings: DataFrame, text_col: str = "text", id_col: str
     h, v = lists.flatten().to_numpy(), got["v"].combine_chunks()
     v = (v.chunk(0) if isinstance(v, pa.ChunkedArray) else v).flatten().to_numpy().astype(float)
     order = np.argsort(got["id"].to_numpy(), kind="stable")  # the same sums whatever order the rows came in
+    rank = np.empty(len(y), int)
+    rank[order] = np.arange(len(y))
+    y, row = y[order], rank[owner]
+    by_row = np.lexsort((h, row))
+    row, h, v = row[by_row], h[by_row], v[by_row]
+    held = np.arange(len(y)) % 5 == 4
+    least = LEAST
+    if (held & (y == GRADES - 1)).sum() >= MIN_HELD and len(set(y[~held])) > 1:
+        ids, w, t = _fit_sparse(row, h, v, y, ~held)
+        at = np.searchsorted(ids, h).clip(0, len(ids) - 1) if len(ids) else np.zeros(len(h), int)
+        hit = ids[at] == h if len(ids) else np.zeros(len(h), bool)
+        tail = 1 / (1 + np.exp(-np.clip(np.bincount(row[hit], v[hit] * w[at[hit]], len(y)) - t[-1], -500, 500)))
+        least = _least(tail[held & (y == GRADES - 1)], tail[held & (y < GRADES - 1)])
+    ids, w, t = _fit_sparse(row, h, v, y, np.ones(len(y), bool))
+    return OrdinalModel({int(i): float(q) for i, q in zip(ids, w)}, [float(q) for q in t], least=least)
+
+
+def _least(good: np.ndarray, others: np.ndarray) -> float:
+    """The smallest bound that keeps fewest of the others while ``STAY`` of the good ones stay."""
+    most = np.sort(good)[int((1 - STAY) * len(good))]
+    gone = others[others < most]
+    return float(np.nextafter(gone.max(), 1)) if len(gone) else float(min(most, LEAST))
+
+
+def _fit_sparse(row: np.ndarray, h: np.ndarray, v: np.ndarray, y: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the features that tell grades apart, their weights and the thresholds, from the rows of ``learn``."""
+    among = learn[row]
+    owner, h, v, y = (np.cumsum(learn) - 1)[row[among]], h[among], v[among], y[learn]
     ids, cols = np.unique(h, return_inverse=True)
-    n = np.bincount(cols)
+    n = np.bincount(cols, minlength=len(ids))
     z = np.zeros(len(ids))
-    for k in range(GRADES - 1):
-        side = (y > k)[owner]
-        total, part = len(y), (y > k).sum()
+    for is_one in [*(y > k for k in range(GRADES - 1)), *(y == k for k in range(1, GRADES - 1))]:
+        side = is_one[owner]
+        total, part = len(y), is_one.sum()
         if 0 < part < total:
             hit, tot = np.bincount(cols, v * side), np.bincount(cols, v)
             var = np.maximum(np.bincount(cols, v * v) / total - (tot / total) ** 2, 1e-12)
             z = np.maximum(z, np.abs(hit / part - (tot - hit) / (total - part)) / np.sqrt(var * (1 / part + 1 / (total - part))))
     z[n < MIN_DOCS] = 0
     use = np.flatnonzero(z >= MIN_Z)
-    use = np.sort(use[np.lexsort((ids[use], -z[use]))[:MAX_FEATURES]])
     number = np.full(len(ids), -1)
     number[use] = np.arange(len(use))
     keep = number[cols] >= 0
-    x = np.zeros((len(y), len(use)), np.float32)
-    x[owner[keep], number[cols[keep]]] = v[keep]
-    w, t = fit_ordinal(x[order], y[order], GRADES)
-    return OrdinalModel({int(i): float(q) for i, q in zip(ids[use], w)}, [float(q) for q in t])
+    w, t = fit_ordinal(Sparse(owner[keep], number[cols[keep]], v[keep], (len(y), len(use))), y, GRADES)
+    return ids[use], w, t
 
 
 def _said(model: OrdinalModel, known: Words, texts: list[str | None]) -> list[tuple[float, list[float]]]:
@@ -208,8 +251,9 @@ def _said(model: OrdinalModel, known: Words, texts: list[str | None]) -> list[tu
     return out
 
 
-def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """(doc_id, expected_grade, p_usable, p_good, kept): P(grade >= 1), P(grade >= 2) and whether the latter reaches ``least``."""
+def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
+    """(doc_id, expected_grade, p_usable, p_good, kept): P(grade >= 1), P(grade >= 2) and whether the latter reaches ``least`` (the model's if None)."""
+    least = model.least if least is None else least
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -222,8 +266,9 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     return docs.select(C(id_col).alias("doc_id"), C(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, expected_grade double, p_usable double, p_good double, kept boolean")
 
 
-def keep_good(docs: DataFrame, model: OrdinalModel, text_col: str = "text", least: float = LEAST) -> DataFrame:
+def keep_good(docs: DataFrame, model: OrdinalModel, text_col: str = "text", least: float | None = None) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns."""
+    least = model.least if least is None else least
     at = docs.columns.index(text_col)
 
     def run(batches):

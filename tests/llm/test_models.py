@@ -101,3 +101,14 @@ def test_vector_search_few(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert {tuple(r) for r in vector_search.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()} == brute(rows, 5)
     assert vector_search.top_k(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
+
+
+def test_quality_bound_lets_few_toxic_documents_through(spark):
+    docs, rated = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), quality.graded(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    said = quality.score(docs, quality.fit(docs, rated.filter("doc_id % 2 = 0"))).join(rated.filter("doc_id % 2 = 1"), "doc_id").toPandas()
+    assert said[said.grade == 1].kept.mean() < 0.3 and said[said.grade == 2].kept.mean() > 0.99
+
+
+def test_least_bound():
+    assert 0.4 < quality._least(np.linspace(0.8, 1, 1000), np.array([0.1, 0.4, 0.9])) <= 0.8
+    assert quality._least(np.linspace(0.3, 1, 1000), np.array([])) < 0.31
