@@ -13,91 +13,18 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.llm.common import C
+from barloom.llm.word_ids import encoder
 from barloom.sources.stage import shared_dir
 
-CACHE_WORDS = 400_000  # in each of two generations
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which begins contractions
-ODD_SPACE = "\x1c\x1d\x1e\x1f"  # str.split() takes these as white space, the tokenizer doesn't
-SLICE = 256
-
-
-class WordEncoder:
-    """Ids of whole texts. The tokenizer drops white space, so the runs between it are encoded alone and kept in a bounded cache.
-
-    New runs that are Latin-1 letters with closing punctuation split into these two by the tokenizer's own pattern; their lower-cased letters go
-    to the same merges without the normaliser. All others, and texts that could hold special tokens or odd separators, go to the whole tokenizer.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.letters.normalizer = None
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.dtype = "<u2" if self.whole.get_vocab_size() <= 65536 else "<u4"
-        self.closes = np.zeros(self.whole.get_vocab_size(), bool)
-        for token, i in self.whole.get_vocab().items():
-            self.closes[i] = token.endswith("</w>")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, tokenizer, text: str) -> np.ndarray:
-        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
-
-    def _learn(self, words: set[str]) -> None:
-        """Puts the ids of new runs into the cache."""
-        young, old, stems, ends = self.young, self.old, {}, {}
-        for w in words:
-            kept = old.get(w)
-            if kept is not None:
-                young[w] = kept
-                continue
-            stem = w.rstrip(PUNCTUATION)
-            if stem.isalpha() and max(stem) <= "\xff":
-                stems[w] = stem.lower()
-                ends[w] = w[len(stem):]
-            else:
-                young[w] = self._ids(self.whole, w).tobytes()
-        new = [x for x in set(stems.values()) if x not in young]
-        if new:
-            ids = self._ids(self.letters, " ".join(new))
-            cut = np.flatnonzero(self.closes[ids]) + 1
-            if len(cut) != len(new):
-                raise ValueError("this tokenizer doesn't mark word ends")
-            raw, step, at = ids.tobytes(), ids.itemsize, 0
-            for w, end in zip(new, (cut * ids.itemsize).tolist()):
-                young[w] = raw[at:end]
-                at = end
-        for w, stem in stems.items():
-            end = ends[w]
-            if end and end not in young:
-                young[end] = self._ids(self.whole, end).tobytes()
-            young[w] = young[stem] + young[end] if end else young[stem]
-
-    def raw(self, texts: list[str], end: int) -> list[bytes]:
-        """Little-endian ids of each text, closed by the end id."""
-        split = [None if "<|" in t or any(c in t for c in ODD_SPACE) else t.split() for t in texts]
-        words = {w for x in split if x for w in x}
-        if len(self.young) + len(words) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        if new := {w for w in words if w not in self.young}:
-            self._learn(new)
-        young, last = self.young, np.array([end], dtype=self.dtype).tobytes()
-        return [(self._ids(self.whole, t).tobytes() if x is None else b"".join([young[w] for w in x])) + last for t, x in zip(texts, split)]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return WordEncoder(path)
+SLICE = 2048
 
 
 def _fs(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -126,19 +53,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col:
         step, starts, ids, nulls, at = np.dtype(enc.dtype).itemsize, [], [], [], 0
         with fs.open_output_stream(f"{root}/{name}.tokens.{tag}") as f:
             for batch in batches:
-                for lo in range(0, batch.num_rows, SLICE):
-                    docs, texts = (c.to_pylist() for c in batch.slice(lo, SLICE).columns)
-                    for doc, raw in zip(docs, enc.raw([t or "" for t in texts], end)):
-                        f.write(raw)
-                        starts.append(at)
-                        ids.append(doc or 0)
-                        nulls.append(doc is None)
-                        at += len(raw) // step
+                for part in (batch.slice(lo, SLICE) for lo in range(0, batch.num_rows, SLICE)):
+                    tokens, offsets = enc.encode(part.column(1), end)
+                    f.write(tokens.tobytes())
+                    starts.append(at + offsets[:-1])
+                    ids.append(pc.fill_null(part.column(0), 0).to_numpy())
+                    nulls.append(part.column(0).is_null().to_numpy(zero_copy_only=False))
+                    at += len(tokens)
         if starts:
-            _put(fs, f"{root}/{name}.offsets", tag, [np.array([*starts, at], "<u8").tobytes()])
-            _put(fs, f"{root}/{name}.docs", tag, [np.array(ids, "<i8").tobytes(), np.array(nulls, "u1").tobytes()])
+            _put(fs, f"{root}/{name}.offsets", tag, [np.append(np.concatenate(starts), at).astype("<u8").tobytes()])
+            _put(fs, f"{root}/{name}.docs", tag, [np.concatenate(ids).astype("<i8").tobytes(), np.concatenate(nulls).astype("u1").tobytes()])
             fs.move(f"{root}/{name}.tokens.{tag}", f"{root}/{name}.tokens")
-            yield pa.RecordBatch.from_arrays([pa.array([ctx.partitionId()], pa.int32()), pa.array([name]), pa.array([len(starts)], pa.int64()), pa.array([at], pa.int64()), pa.array([step], pa.int32())],
+            yield pa.RecordBatch.from_arrays([pa.array([ctx.partitionId()], pa.int32()), pa.array([name]), pa.array([sum(map(len, starts))], pa.int64()), pa.array([at], pa.int64()), pa.array([step], pa.int32())],
                                              names=["part", "name", "n_docs", "n_tokens", "width"])
         else:
             fs.delete_file(f"{root}/{name}.tokens.{tag}")
