@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, language_id, mixing, near_dedup, quality, sentencepiece_bpe, substring_dedup, token_files, url_filters, vector_search
+from barloom.llm import centroids, exact_dedup, importance, language_id, mixing, near_dedup, packing, quality, sentencepiece_bpe, substring_dedup, token_files, url_filters, vector_search
 from barloom.llm.common import C, table
 
 QUERIES, SQL = {}, {}
@@ -65,3 +65,15 @@ def _(s, sf): return url_filters.filter_urls(url_filters.dated_captures(table(s,
 
 @query("op10_vector_search", vector_search.SQL)
 def _(s, sf): return vector_search.top_k(table(s, sf, "embeddings"), C("vec_id") % 50 == 0, 5)
+
+
+@query("op11_centroid_clusters", centroids.SQL)
+def _(s, sf): return centroids.cluster(table(s, sf, "embeddings"))
+
+
+@query("op12_packing")
+def _(s, sf): return packing.pack(table(s, sf, "documents"), vocabulary("word_bpe_49k.json"), 1)
+
+
+@query("op13_importance_resampling")
+def _(s, sf): return importance.resample(table(s, sf, "documents"), table(s, sf, "benchmark"))
