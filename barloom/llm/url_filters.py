@@ -1,7 +1,7 @@
 """URL filters by temporal list join, in DataFrame functions only.
 
 Dated list entries (rule, at, action, category) become validity intervals, and an as-of join evaluates each capture against the entries that
-were active when it was fetched. A rule is a host name and covers its subdomains. The most specific active rule decides.
+were active when it was fetched. A rule is a host name, in any case and with or without closing dots, and covers its subdomains. The most specific active rule decides.
 
 Defined cases: a null url or one without host, and a null fetch time, match nothing and are never blocked; entries with a null rule or time are
 void; of entries of one rule at one instant a ``drop`` wins; repeated captures each get their verdict; empty tables give empty results.
@@ -30,9 +30,10 @@ def suffixes(host: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(rule, category, listed_at, until): when each rule was active; ``until`` is exclusive and null while it still is."""
-    e = entries.filter("rule IS NOT NULL AND at IS NOT NULL").groupBy("rule", "at").agg(F.max("action").alias("action"), F.max("category").alias("category"))
+    named = F.regexp_replace(F.lower("rule"), r"\.+$", "")
+    e = entries.withColumn("rule", named).filter("rule <> '' AND at IS NOT NULL").groupBy("rule", "at").agg(F.max("action").alias("action"), F.max("category").alias("category"))
     nxt = F.lead("at").over(W.partitionBy("rule").orderBy("at"))
-    return e.withColumn("until", nxt).filter("action = 'add'").select(F.lower("rule").alias("rule"), "category", C("at").alias("listed_at"), "until")
+    return e.withColumn("until", nxt).filter("action = 'add'").select("rule", "category", C("at").alias("listed_at"), "until")
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:

@@ -141,3 +141,11 @@ def test_url_filters(spark):
     no = lambda i: (i, False, None, None, None)
     assert got == [(1, True, "bad.com", "spam", 5)] * 2 + [no(2), no(3), no(4), no(5), no(6), (7, True, "a.bad.com", "adult", 11), no(8), no(9)]
     assert url_filters.filter_urls(caps.limit(0), entries.limit(0)).count() == 0
+
+
+def test_url_rules_in_any_case(spark):
+    caps = spark.createDataFrame([(1, "http://example.com/", 15), (2, "http://www.EXAMPLE.com", 25), (3, "http://example.com", 35), (4, "http://other.org", 15)], "page_id long, url string, fetched_at long")
+    entries = spark.createDataFrame([("Example.com", 10, "add", "x"), ("example.com.", 20, "drop", "x"), ("EXAMPLE.COM", 30, "add", "x"), ("...", 1, "add", "x")] + [(f"unseen{i}.net", i, "add", "x") for i in range(500)],
+                                    "rule string, at long, action string, category string")
+    got = {r.page_id: (r.blocked, r.rule, r.listed_at) for r in url_filters.filter_urls(caps, entries).collect()}
+    assert got == {1: (True, "example.com", 10), 2: (False, None, None), 3: (True, "example.com", 30), 4: (False, None, None)}
