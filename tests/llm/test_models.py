@@ -96,6 +96,22 @@ def test_vector_search(spark):
         assert {tuple(r) for r in vector_search.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=shard).collect()} == want
 
 
+@pytest.mark.parametrize("large", [1e7, 1e10, 1e30])
+def test_vector_search_large(spark, large):
+    """Whole numbers of any size: the ranks are those of exact products; only scores within 64 bits are given."""
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) * (large if i % 2 else 1) for _ in range(8)]) for i in range(120)] + [(200, [large, 1.0] + [0.0] * 6), (250, [large, 2.0] + [0.0] * 6)]
+    ints = [(i, [math.floor(x * 256) for x in v]) for i, v in rows]
+    want = set()
+    for qi, q in ints:
+        if qi % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in ints if i != qi)[:5]
+            want |= {(qi, n + 1, i, -s if -1 << 63 <= -s < 1 << 63 else None) for n, (s, i) in enumerate(best)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard in (16, 1000):
+        assert {tuple(r) for r in vector_search.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=shard).collect()} == want
+
+
 def test_vector_search_few(spark):
     rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
