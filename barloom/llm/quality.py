@@ -186,29 +186,36 @@ def fit(docs: DataFrame, ratings: DataFrame, text_col: str = "text", id_col: str
     y = got["grade"].to_numpy().astype(int)
     if len(set(y)) < 2:
         return OrdinalModel({}, [], int(y[0]) if len(y) else GRADES - 1)
-    lists = got["h"].combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    owner = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    h, v = lists.flatten().to_numpy(), got["v"].combine_chunks()
-    v = (v.chunk(0) if isinstance(v, pa.ChunkedArray) else v).flatten().to_numpy().astype(float)
+    # 32-bit columns, one at a time: the sample's features are the largest thing that the driver holds
     order = np.argsort(got["id"].to_numpy(), kind="stable")  # the same sums whatever order the rows came in
-    rank = np.empty(len(y), int)
+    rank = np.empty(len(y), np.int32)
     rank[order] = np.arange(len(y))
-    y, row = y[order], rank[owner]
-    by_row = np.lexsort((h, row))
+    y = y[order]
+    lists, values = _one_chunk(got["h"]), _one_chunk(got["v"])
+    del got
+    row = np.repeat(rank, np.diff(lists.offsets.to_numpy()))
+    h, v = lists.flatten().to_numpy(), values.flatten().to_numpy()
+    by_row = np.argsort((row.astype(np.int64) << HASH_BITS) | h, kind="stable").astype(np.int32)
     row, h, v = row[by_row], h[by_row], v[by_row]
+    del lists, values, by_row
     held = np.arange(len(y)) % 5 == 4
     least = LEAST
     if (held & (y == GRADES - 1)).sum() >= MIN_HELD and len(set(y[~held])) > 1:
         ids, w, t = _fit_sparse(row, h, v, y, ~held)
-        at = np.searchsorted(ids, h).clip(0, len(ids) - 1) if len(ids) else np.zeros(len(h), int)
-        hit = ids[at] == h if len(ids) else np.zeros(len(h), bool)
-        tail = 1 / (1 + np.exp(-np.clip(np.bincount(row[hit], v[hit] * w[at[hit]], len(y)) - t[-1], -500, 500)))
+        hit = np.flatnonzero(np.isin(h, ids))
+        tail = 1 / (1 + np.exp(-np.clip(np.bincount(row[hit], v[hit] * w[np.searchsorted(ids, h[hit])], len(y)) - t[-1], -500, 500)))
+        del hit
         least = _least(tail[held & (y == GRADES - 1)], tail[held & (y < GRADES - 1)])
     ids, w, t = _fit_sparse(row, h, v, y, np.ones(len(y), bool))
     return OrdinalModel({int(i): float(q) for i, q in zip(ids, w)}, [float(q) for q in t], least=least)
 
 
+def _one_chunk(lists: pa.ChunkedArray | pa.Array) -> pa.Array:
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0) if lists.num_chunks == 1 else lists.combine_chunks()
+    return lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+
+
 def _least(good: np.ndarray, others: np.ndarray) -> float:
     """The smallest bound that keeps fewest of the others while ``STAY`` of the good ones stay."""
     most = np.sort(good)[int((1 - STAY) * len(good))]
@@ -219,23 +226,31 @@ def _least(good: np.ndarray, others: np.ndarray) -> float:
 def _fit_sparse(row: np.ndarray, h: np.ndarray, v: np.ndarray, y: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the features that tell grades apart, their weights and the thresholds, from the rows of ``learn``."""
     among = learn[row]
-    owner, h, v, y = (np.cumsum(learn) - 1)[row[among]], h[among], v[among], y[learn]
-    ids, cols = np.unique(h, return_inverse=True)
+    owner, h, v, y = (np.cumsum(learn) - 1).astype(np.int32)[row[among]], h[among], v[among], y[learn]
+    del among
+    ids = np.unique(h)
+    cols = np.searchsorted(ids, h).astype(np.int32)
+    del h
     n = np.bincount(cols, minlength=len(ids))
+    total = len(y)
+    sums = lambda x: np.bincount(cols, x, len(ids))
+    tot = sums(v)
+    var = np.maximum(sums(v.astype(float) ** 2) / total - (tot / total) ** 2, 1e-12)
     z = np.zeros(len(ids))
     for is_one in [*(y > k for k in range(GRADES - 1)), *(y == k for k in range(1, GRADES - 1))]:
-        side = is_one[owner]
-        total, part = len(y), is_one.sum()
+        part = is_one.sum()
         if 0 < part < total:
-            hit, tot = np.bincount(cols, v * side), np.bincount(cols, v)
-            var = np.maximum(np.bincount(cols, v * v) / total - (tot / total) ** 2, 1e-12)
+            hit = sums(v * is_one[owner])
             z = np.maximum(z, np.abs(hit / part - (tot - hit) / (total - part)) / np.sqrt(var * (1 / part + 1 / (total - part))))
     z[n < MIN_DOCS] = 0
     use = np.flatnonzero(z >= MIN_Z)
-    number = np.full(len(ids), -1)
+    number = np.full(len(ids), -1, np.int32)
     number[use] = np.arange(len(use))
-    keep = number[cols] >= 0
-    w, t = fit_ordinal(Sparse(owner[keep], number[cols[keep]], v[keep], (len(y), len(use))), y, GRADES)
+    cols = number[cols]
+    keep = np.flatnonzero(cols >= 0)
+    owner, cols, v = owner[keep], cols[keep], v[keep].astype(float)
+    del keep
+    w, t = fit_ordinal(Sparse(owner, cols, v, (total, len(use))), y, GRADES)
     return ids[use], w, t
 
 
