@@ -208,8 +208,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = K) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each component the document with the smallest id."""
-    gone = stage(near_groups(docs, id_col, text_col, percent, k).filter("NOT kept").select(C("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, C(id_col) == C("_gone"), "left_anti")
+    name = "_" * (1 + max(map(len, docs.columns)))  # longer than any column of the documents
+    gone = stage(near_groups(docs, id_col, text_col, percent, k).filter("NOT kept").select(C("doc_id").alias(name)).distinct())
+    return docs.join(gone, C(id_col) == C(name), "left_anti")
 
 
 SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
