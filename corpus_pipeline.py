@@ -12,7 +12,7 @@ from barloom.sources.stage import shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fitted on rated documents; those go whose probability of the highest grade is below one half."""
+    """Fitted on rated documents; those go whose probability of the highest grade is below the bound chosen on held-out labels."""
     return quality_model.keep_good(docs, quality_model.fit(docs, quality_model.graded(table(spark, sf_dir, "labels"))))
 
 
