@@ -178,7 +178,7 @@ def fit(docs: DataFrame, ratings: DataFrame, text_col: str = "text", id_col: str
                     known.learn(set(words))
                     key.append(i)
                     grade.append(g)
-                    feats.append(features(words, known))
+                    feats.append(dict(sorted(features(words, known).items())))
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(grade, pa.int32()), pa.array([list(f) for f in feats], pa.list_(pa.int32())), pa.array([list(f.values()) for f in feats], pa.list_(pa.float32()))],
                                              names=["id", "grade", "h", "v"])
 
@@ -187,17 +187,14 @@ def fit(docs: DataFrame, ratings: DataFrame, text_col: str = "text", id_col: str
     if len(set(y)) < 2:
         return OrdinalModel({}, [], int(y[0]) if len(y) else GRADES - 1)
     # 32-bit columns, one at a time: the sample's features are the largest thing that the driver holds
-    order = np.argsort(got["id"].to_numpy(), kind="stable")  # the same sums whatever order the rows came in
-    rank = np.empty(len(y), np.int32)
-    rank[order] = np.arange(len(y))
-    y = y[order]
-    lists, values = _one_chunk(got["h"]), _one_chunk(got["v"])
-    del got
-    row = np.repeat(rank, np.diff(lists.offsets.to_numpy()))
-    h, v = lists.flatten().to_numpy(), values.flatten().to_numpy()
-    by_row = np.argsort((row.astype(np.int64) << HASH_BITS) | h, kind="stable").astype(np.int32)
-    row, h, v = row[by_row], h[by_row], v[by_row]
-    del lists, values, by_row
+    order = pa.array(np.argsort(got["id"].to_numpy(), kind="stable"))  # the same sums whatever order the rows came in
+    y = y[order.to_numpy()]
+    lists = _one_chunk(got["h"].take(order))
+    row, h = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    got = got.drop_columns(["h"])
+    v = _one_chunk(got["v"].take(order)).flatten().to_numpy()
+    del got, lists
+    pa.default_memory_pool().release_unused()
     held = np.arange(len(y)) % 5 == 4
     least = LEAST
     if (held & (y == GRADES - 1)).sum() >= MIN_HELD and len(set(y[~held])) > 1:
