@@ -170,13 +170,39 @@ def register(cat):
 
     N = 2000  # replicates, as the operators' default; every replicate uses all rows
     pathq = f"""WITH {PATH}, nn AS (SELECT count(*) AS n FROM c), dr AS (SELECT r.range AS rep, c.idx AS j, %s AS src FROM c, nn, range({N}) r), sm AS (SELECT dr.rep, dr.j, c.net_r FROM dr JOIN c ON c.idx = dr.src), eq AS (SELECT rep, j, net_r, sum(net_r) OVER (PARTITION BY rep ORDER BY j) AS e FROM sm), pk AS (SELECT *, greatest(0, max(e) OVER (PARTITION BY rep ORDER BY j)) - e AS dd FROM eq)
-        SELECT rep AS replicate, round(avg(net_r), 4) AS mean_r, round(sum(net_r), 4) AS end_r, round(max(dd), 4) AS max_drawdown_r FROM pk GROUP BY 1"""
+        SELECT rep AS replicate, avg(net_r) AS mean_r, sum(net_r) AS end_r, max(dd) AS max_drawdown_r FROM pk GROUP BY 1"""
+    rounded = lambda q: f"SELECT replicate, round(mean_r, 4) + 0.0 AS mean_r, round(end_r, 4) + 0.0 AS end_r, round(max_drawdown_r, 4) AS max_drawdown_r FROM ({q})"
 
-    @cat.add("h19_iid_bootstrap", pathq % f"{mix_sql(42, 'r.range', 'c.idx')} % n", digits=4)
+    @cat.add("h19_iid_bootstrap", rounded(pathq % f"{mix_sql(42, 'r.range', 'c.idx')} % n"), digits=4)
     def _(s, sf): return R.path_bootstrap(path(s, sf))
 
-    @cat.add("h19_block_bootstrap", pathq % f"({mix_sql(42, 'r.range', 'c.idx // 5')} % n + c.idx % 5) % n", digits=4)
+    @cat.add("h19_block_bootstrap", rounded(pathq % f"({mix_sql(42, 'r.range', 'c.idx // 5')} % n + c.idx % 5) % n"), digits=4)
     def _(s, sf): return R.path_bootstrap(path(s, sf), block_length=5)
 
-    @cat.add("h20_permutation_drawdown", f"WITH {PATH}, ks AS (SELECT r.range AS rep, idx, net_r, {mix_sql(42, 'r.range', 'c.idx')} AS k FROM c, range({N}) r), eq AS (SELECT *, sum(net_r) OVER (PARTITION BY rep ORDER BY k, idx) AS e FROM ks), pk AS (SELECT *, greatest(0, max(e) OVER (PARTITION BY rep ORDER BY k, idx)) - e AS dd FROM eq) SELECT rep AS replicate, round(max(dd), 4) AS max_drawdown_r FROM pk GROUP BY 1", digits=4)
+    REPORTQ = ", ".join(f"round(quantile_cont({c}, {q}), 3) + 0.0 AS {k}" for c, k, q in [("mean_r", "lower", 0.025), ("mean_r", "upper", 0.975), *[("max_drawdown_r", k, q) for k, q in R.DRAWDOWNS.items()], *[("end_r", k, q) for k, q in R.ENDS.items()]])
+    blockq = pathq % f"({mix_sql(42, 'r.range', 'c.idx // 5')} % n + c.idx % 5) % n"
+    iidq = pathq % f"{mix_sql(42, 'r.range', 'c.idx')} % n"
+
+    @cat.add("h19_bootstrap_report", f"SELECT m.method, 'OK' AS status, (SELECT count(*) FROM (WITH {PATH} SELECT * FROM c)) AS trades, {N} AS iterations, m.* EXCLUDE (method) FROM (SELECT 'IID_NONPARAMETRIC_BOOTSTRAP' AS method, {REPORTQ} FROM ({iidq}) UNION ALL SELECT 'MOVING_BLOCK_BOOTSTRAP', {REPORTQ} FROM ({blockq})) m", digits=3)
+    def _(s, sf): return R.bootstrap_report(path(s, sf))
+
+    # the keyed permutation: each round adds to one coordinate what a table gives for the other
+    def rounds():
+        ctes, last = [], "g0"
+        for i in range(R.GRID_ROUNDS):
+            other, side, moved = ("y", "hi", "x") if i % 2 == 0 else ("x", "wi", "y")
+            keep = f"(x + u) % hi AS x, y" if moved == "x" else "x, (y + u) % wi AS y"
+            ctes.append(f"u{i} AS (SELECT r.range AS rep, v.range AS {other}, {mix_sql(42, 'r.range', i, 'v.range')} % {side} AS u FROM sd, range({N}) r, range((SELECT greatest(hi, wi) FROM sd)) v)")
+            ctes.append(f"g{i + 1} AS (SELECT rep, j, {keep}, hi, wi FROM {last} JOIN u{i} USING (rep, {other}))")
+            last = f"g{i + 1}"
+        return ", ".join(ctes), last
+
+    STEPS, LAST = rounds()
+    permq = f"""WITH {PATH}, sd AS (SELECT hi, ((n + hi - 1) // hi)::BIGINT AS wi FROM (SELECT count(*) AS n, greatest(1, ceil(sqrt(count(*))))::BIGINT AS hi FROM c)), g0 AS (SELECT r.range AS rep, j.range AS j, j.range // wi AS x, j.range % wi AS y, hi, wi FROM sd, range({N}) r, range((SELECT hi * wi FROM sd)) j), {STEPS},
+        eq AS (SELECT rep, j, sum(net_r) OVER (PARTITION BY rep ORDER BY j) AS e FROM {LAST} JOIN c ON c.idx = x * wi + y), pk AS (SELECT rep, greatest(0, max(e) OVER (PARTITION BY rep ORDER BY j)) - e AS dd FROM eq) SELECT rep AS replicate, max(dd) AS max_drawdown_r FROM pk GROUP BY 1"""
+
+    @cat.add("h20_permutation_drawdown", f"SELECT replicate, round(max_drawdown_r, 4) AS max_drawdown_r FROM ({permq})", digits=4)
     def _(s, sf): return R.permutation_drawdowns(path(s, sf))
+
+    @cat.add("h20_order_sensitivity", f"WITH {PATH}, eq AS (SELECT *, sum(net_r) OVER (ORDER BY idx) AS e FROM c), pk AS (SELECT greatest(0, max(e) OVER (ORDER BY idx)) - e AS dd FROM eq) SELECT (SELECT round(max(dd), 4) FROM pk) AS observed_max_drawdown, round(quantile_cont(max_drawdown_r, 0.5), 4) AS permutation_median, round(quantile_cont(max_drawdown_r, 0.95), 4) AS permutation_p95 FROM ({permq})", digits=4)
+    def _(s, sf): return R.order_sensitivity(path(s, sf))

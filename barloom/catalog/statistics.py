@@ -174,18 +174,26 @@ def register(cat):
 
     B = 2000
 
-    @cat.add("h17_block_bootstrap", TR + f""", rows AS (SELECT horizon, symbol, seg, blk, er, tr FROM tw WHERE tr IS NOT NULL), bk AS (SELECT symbol, day, row_number() OVER (ORDER BY symbol, day) - 1 AS no FROM (SELECT DISTINCT symbol, CAST(ts AS date) AS day FROM tw WHERE tr IS NOT NULL)), nb AS (SELECT count(*) AS n FROM bk),
-        dr AS (SELECT r.range AS rep, {mix_sql(42, 'r.range', 'bk.no')} % n AS no FROM bk, nb, range({B}) r), wt AS (SELECT rep, no, count(*) AS w FROM dr GROUP BY 1, 2), st AS (SELECT horizon, symbol, CAST(ts AS date) AS day, sum(CASE WHEN tr THEN 1.0 ELSE 0 END) AS n1, sum(CASE WHEN tr THEN er ELSE 0 END) AS s1, sum(CASE WHEN tr THEN 0 ELSE 1.0 END) AS n0, sum(CASE WHEN tr THEN 0 ELSE er END) AS s0 FROM tw WHERE tr IS NOT NULL GROUP BY 1, 2, 3),
-        rp AS (SELECT horizon, rep, sum(s1 * w) / nullif(sum(n1 * w), 0) - sum(s0 * w) / nullif(sum(n0 * w), 0) AS diff FROM st JOIN bk USING (symbol, day) JOIN wt USING (no) GROUP BY 1, 2)
-        SELECT horizon, round(quantile_cont(diff, 0.025), 5) AS difference_low, round(quantile_cont(diff, 0.975), 5) AS difference_high, count(diff) AS difference_defined FROM rp GROUP BY 1 HAVING count(diff) >= 2""", digits=5)
+    LIM = lambda n, q, k: f"CASE WHEN contributing_blocks >= 2 AND {n} >= 2 THEN round({q}[1], 5) END AS {k}_low, CASE WHEN contributing_blocks >= 2 AND {n} >= 2 THEN round({q}[2], 5) END AS {k}_high, CASE WHEN contributing_blocks >= 2 THEN coalesce({n}, 0) ELSE 0 END AS {k}_defined"
+
+    @cat.add("h17_block_bootstrap", TR + f""", vv AS (SELECT *, CAST(ts AS date) AS day FROM tw WHERE tr IS NOT NULL), bk AS (SELECT symbol, day, row_number() OVER (ORDER BY symbol, day) - 1 AS no FROM (SELECT DISTINCT symbol, day FROM vv)), nb AS (SELECT count(*) AS n FROM bk),
+        dr AS (SELECT r.range AS rep, {mix_sql(42, 'r.range', 'bk.no')} % n AS no FROM bk, nb, range({B}) r), wt AS (SELECT rep, no, count(*) AS w FROM dr GROUP BY 1, 2), st AS (SELECT horizon, symbol, day, count(er) FILTER (tr) AS n1, coalesce(sum(er) FILTER (tr), 0) AS s1, coalesce(sum(er * er) FILTER (tr), 0) AS q1, count(er) FILTER (NOT tr) AS n0, coalesce(sum(er) FILTER (NOT tr), 0) AS s0, coalesce(sum(er * er) FILTER (NOT tr), 0) AS q0 FROM vv GROUP BY 1, 2, 3),
+        rs AS (SELECT horizon, rep, sum(n0 * w)::DOUBLE AS n0, sum(s0 * w) AS s0, sum(q0 * w) AS q0, sum(n1 * w)::DOUBLE AS n1, sum(s1 * w) AS s1, sum(q1 * w) AS q1 FROM st JOIN bk USING (symbol, day) JOIN wt USING (no) GROUP BY 1, 2), rp AS (SELECT *, CASE WHEN n0 > 0 AND n1 > 0 THEN s1 / n1 - s0 / n0 END AS diff, CASE WHEN n0 >= 2 AND n1 >= 2 THEN ((q0 - s0 * s0 / n0) + (q1 - s1 * s1 / n1)) / (n0 + n1 - 2) END AS pooled FROM rs),
+        re AS (SELECT *, CASE WHEN pooled > 0 THEN diff / sqrt(pooled) END AS d FROM rp), lim AS (SELECT horizon, quantile_cont(diff, [0.025, 0.975]) AS q, count(diff) AS n, quantile_cont(d, [0.025, 0.975]) AS e, count(d) AS m FROM re GROUP BY 1), gr AS (SELECT horizon, count(*) FILTER (n0 + n1 > 0) AS contributing_blocks FROM st GROUP BY 1)
+        SELECT horizon, contributing_blocks, {LIM('n', 'q', 'difference')}, {LIM('m', 'e', 'cohens_d')} FROM gr LEFT JOIN lim USING (horizon)""", digits=5)
     def _(s, sf):
         d = trans(s, sf).filter("transition is not null").withColumn("day", F.to_date("ts"))
-        return R.block_bootstrap_effects(d, ["horizon"], ["symbol", "day"], C("transition"), "er").select("horizon", "difference_low", "difference_high", "difference_defined")
-
-    @cat.add("h18_day_bootstrap", f"""WITH {OT}, bk AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS no FROM (SELECT DISTINCT entry_ts AS day FROM ot)), nb AS (SELECT count(*) AS n FROM bk), dr AS (SELECT r.range AS rep, {mix_sql(42, 'r.range', 'bk.no')} % n AS no FROM bk, nb, range(2000) r), wt AS (SELECT rep, no, count(*) AS w FROM dr GROUP BY 1, 2),
-        st AS (SELECT symbol, entry_ts AS day, count(*) AS n, sum(profit) AS s, count(*) FILTER (profit > 0) AS k, coalesce(sum(profit) FILTER (profit > 0), 0) AS sw FROM ot GROUP BY 1, 2), rp AS (SELECT symbol, rep, sum(n * w) AS n, sum(s * w) AS s, sum(k * w) AS k, sum(sw * w) AS sw FROM st JOIN bk USING (day) JOIN wt USING (no) GROUP BY 1, 2),
-        lg AS (SELECT symbol, unnest([{{'statistic': 'win_rate', 'v': k / n}}, {{'statistic': 'expectancy', 'v': s / n}}, {{'statistic': 'win_loss_gap', 'v': sw / k - (s - sw) / (n - k)}}], recursive := true) FROM rp) SELECT symbol, statistic, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS defined FROM lg GROUP BY 1, 2""")
-    def _(s, sf): return R.day_bootstrap_performance(outcome_trades(s, sf), ["symbol"])
+        return R.block_bootstrap_effects(d, ["horizon"], ["symbol", "day"], C("transition"), "er")
+
+    @cat.add("h18_day_bootstrap", f"""WITH {OT}, bk AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS no FROM (SELECT DISTINCT entry_ts AS day FROM ot)), nb AS (SELECT count(*) AS n FROM bk), dr AS (SELECT r.range AS rep, {mix_sql(42, 'r.range', 'bk.no')} % n AS no FROM bk, nb, range({B}) r), wt AS (SELECT rep, no, count(*) AS w FROM dr GROUP BY 1, 2),
+        os AS (SELECT *, unnest(['ALL', coalesce(st, 'UNMATCHED')]) AS scope FROM (SELECT *, CASE WHEN hold % 5 <> 0 THEN state::VARCHAR END AS st FROM ot)), st AS (SELECT symbol, scope, entry_ts AS day, count(*) AS n, sum(profit) AS s, count(*) FILTER (profit > 0) AS k, coalesce(sum(profit) FILTER (profit > 0), 0) AS sw, coalesce(sum(hold) FILTER (profit > 0), 0) AS hw, coalesce(sum(hold) FILTER (profit <= 0), 0) AS hl FROM os GROUP BY 1, 2, 3),
+        rp AS (SELECT symbol, scope, rep, sum(n * w) AS n, sum(s * w) AS s, sum(k * w) AS k, sum(sw * w) AS sw, sum(hw * w) AS hw, sum(hl * w) AS hl FROM st JOIN bk USING (day) JOIN wt USING (no) GROUP BY 1, 2, 3),
+        lg AS (SELECT symbol, scope, unnest([{{'statistic': 'win_rate', 'v': k / n}}, {{'statistic': 'expectancy', 'v': s / n}}, {{'statistic': 'win_loss_gap', 'v': CASE WHEN k > 0 AND k < n THEN sw / k - (s - sw) / (n - k) END}}, {{'statistic': 'hold_gap', 'v': CASE WHEN k > 0 AND k < n THEN hw / k - hl / (n - k) END}}], recursive := true) FROM rp),
+        gr AS (SELECT symbol, scope, unnest([{{'statistic': 'win_rate', 'b': count(*)}}, {{'statistic': 'expectancy', 'b': count(*)}}, {{'statistic': 'win_loss_gap', 'b': least(count(*) FILTER (k > 0), count(*) FILTER (n > k))}}, {{'statistic': 'hold_gap', 'b': least(count(*) FILTER (k > 0), count(*) FILTER (n > k))}}], recursive := true) FROM st GROUP BY 1, 2), lm AS (SELECT symbol, scope, statistic, quantile_cont(v, [0.025, 0.975]) AS q, count(v) AS n FROM lg GROUP BY 1, 2, 3)
+        SELECT symbol, scope, statistic, CASE WHEN b >= 2 AND n >= 2 THEN round(q[1], 6) END AS low, CASE WHEN b >= 2 AND n >= 2 THEN round(q[2], 6) END AS high, CASE WHEN b >= 2 THEN n ELSE 0 END AS defined, b AS contributing_blocks FROM gr JOIN lm USING (symbol, scope, statistic)""")
+    def _(s, sf):
+        t = outcome_trades(s, sf).withColumn("matched", F.when(C("hold") % 5 != 0, C("state")))
+        return R.day_bootstrap_performance(t, ["symbol"], state="matched", metrics=["hold"])
 
     @cat.add("h21_state_by_outcome", f"WITH {OT} SELECT outcome, state, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY outcome), 6) AS share FROM ot GROUP BY 1, 2")
     def _(s, sf): return G.outcome_state_comparison(outcome_trades(s, sf), "outcome", "state", "hold")[0]
