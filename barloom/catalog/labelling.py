@@ -179,11 +179,11 @@ def register(cat):
     @cat.add("h19_block_bootstrap", rounded(pathq % f"({mix_sql(42, 'r.range', 'c.idx // 5')} % n + c.idx % 5) % n"), digits=4)
     def _(s, sf): return R.path_bootstrap(path(s, sf), block_length=5)
 
-    REPORTQ = ", ".join(f"round(quantile_cont({c}, {q}), 3) + 0.0 AS {k}" for c, k, q in [("mean_r", "lower", 0.025), ("mean_r", "upper", 0.975), *[("max_drawdown_r", k, q) for k, q in R.DRAWDOWNS.items()], *[("end_r", k, q) for k, q in R.ENDS.items()]])
+    REPORTQ = ", ".join(f"round(quantile_cont({c}, {q}), 6) + 0.0 AS {k}" for c, k, q in [("mean_r", "lower", 0.025), ("mean_r", "upper", 0.975), *[("max_drawdown_r", k, q) for k, q in R.DRAWDOWNS.items()], *[("end_r", k, q) for k, q in R.ENDS.items()]])
     blockq = pathq % f"({mix_sql(42, 'r.range', 'c.idx // 5')} % n + c.idx % 5) % n"
     iidq = pathq % f"{mix_sql(42, 'r.range', 'c.idx')} % n"
 
-    @cat.add("h19_bootstrap_report", f"SELECT m.method, 'OK' AS status, (SELECT count(*) FROM (WITH {PATH} SELECT * FROM c)) AS trades, {N} AS iterations, m.* EXCLUDE (method) FROM (SELECT 'IID_NONPARAMETRIC_BOOTSTRAP' AS method, {REPORTQ} FROM ({iidq}) UNION ALL SELECT 'MOVING_BLOCK_BOOTSTRAP', {REPORTQ} FROM ({blockq})) m", digits=3)
+    @cat.add("h19_bootstrap_report", f"SELECT m.method, 'OK' AS status, (SELECT count(*) FROM (WITH {PATH} SELECT * FROM c)) AS trades, {N} AS iterations, m.* EXCLUDE (method) FROM (SELECT 'IID_NONPARAMETRIC_BOOTSTRAP' AS method, {REPORTQ} FROM ({iidq}) UNION ALL SELECT 'MOVING_BLOCK_BOOTSTRAP', {REPORTQ} FROM ({blockq})) m", digits=6)
     def _(s, sf): return R.bootstrap_report(path(s, sf))
 
     # the keyed permutation: each round adds to one coordinate what a table gives for the other
@@ -204,5 +204,5 @@ def register(cat):
     @cat.add("h20_permutation_drawdown", f"SELECT replicate, round(max_drawdown_r, 4) AS max_drawdown_r FROM ({permq})", digits=4)
     def _(s, sf): return R.permutation_drawdowns(path(s, sf))
 
-    @cat.add("h20_order_sensitivity", f"WITH {PATH}, eq AS (SELECT *, sum(net_r) OVER (ORDER BY idx) AS e FROM c), pk AS (SELECT greatest(0, max(e) OVER (ORDER BY idx)) - e AS dd FROM eq) SELECT (SELECT round(max(dd), 4) FROM pk) AS observed_max_drawdown, round(quantile_cont(max_drawdown_r, 0.5), 4) AS permutation_median, round(quantile_cont(max_drawdown_r, 0.95), 4) AS permutation_p95 FROM ({permq})", digits=4)
+    @cat.add("h20_order_sensitivity", f"WITH {PATH}, eq AS (SELECT *, sum(net_r) OVER (ORDER BY idx) AS e FROM c), pk AS (SELECT greatest(0, max(e) OVER (ORDER BY idx)) - e AS dd FROM eq) SELECT (SELECT round(max(dd), 6) FROM pk) AS observed_max_drawdown, round(quantile_cont(max_drawdown_r, 0.5), 6) AS permutation_median, round(quantile_cont(max_drawdown_r, 0.95), 6) AS permutation_p95 FROM ({permq})", digits=6)
     def _(s, sf): return R.order_sensitivity(path(s, sf))

@@ -106,10 +106,10 @@ def register(cat):
     @cat.add("j08_gmm_fit")
     def _(s, sf):
         model, info = M.gmm_fit(vectors(s, sf), V, 3)
-        return s.createDataFrame([tuple(float(v) for v in info.values())], ", ".join(f"{k} double" for k in info))
+        return s.createDataFrame([tuple(info.values())], M.MIXTURES)
 
     @cat.add("j09_select_k")
-    def _(s, sf): return M.select_k(vectors(s, sf), V)
+    def _(s, sf): return M.select_k(vectors(s, sf), V, range(2, 11))
 
     @cat.add("j10_adjusted_rand", """WITH d AS (SELECT vec_id % 4 AS slice, label AS a, CASE WHEN vec_id % 5 = 0 THEN (label + 1) % 10 ELSE label END AS b FROM embeddings), n AS (SELECT slice, a, b, count(*)::DOUBLE AS n FROM d GROUP BY 1, 2, 3), r AS (SELECT slice, sum(r * (r - 1) / 2) AS sr, sum(r) AS t FROM (SELECT slice, a, sum(n) AS r FROM n GROUP BY 1, 2) GROUP BY 1), c AS (SELECT slice, sum(c * (c - 1) / 2) AS sc FROM (SELECT slice, b, sum(n) AS c FROM n GROUP BY 1, 2) GROUP BY 1), k AS (SELECT slice, sum(n * (n - 1) / 2) AS sn FROM n GROUP BY 1)
         SELECT slice, t::BIGINT AS n, round((sn - sr * sc / (t * (t - 1) / 2)) / ((sr + sc) / 2 - sr * sc / (t * (t - 1) / 2)), 6) AS ari FROM r JOIN c USING (slice) JOIN k USING (slice)""")

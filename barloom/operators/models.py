@@ -8,8 +8,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.functions.scalars import posterior_scores
+from barloom.operators import mixtures as EM
 from barloom.operators.stats import flag_count, join_ns, outcome_distribution, quantiles, value_ranks, with_previous_state
 from barloom.operators.timeline import number_rows
+from barloom.sources.stage import stage
 
 C = F.col
 
@@ -158,41 +160,40 @@ def gmm_parameters(k: int, d: int) -> int:
     return k * d + k * d * (d + 1) // 2 + k - 1
 
 
-def gmm_fit(df: DataFrame, features: Sequence[str], k: int, *, n_init: int = 5, seed: int = 42, max_iter: int = 100, tol: float = 1e-3):
-    """Best of ``n_init`` distributed full-covariance fits; BIC, AIC, smallest occupancy."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-    vec = VectorAssembler(inputCols=list(features), outputCol="features").transform(df).select("features").persist()
-    try:
-        best = None
-        for i in range(n_init):
-            m = GaussianMixture(k=k, seed=seed + i, maxIter=max_iter, tol=tol).fit(vec)
-            if best is None or m.summary.logLikelihood > best.summary.logLikelihood:
-                best = m
-        n = vec.count()
-        p, ll = gmm_parameters(k, len(features)), best.summary.logLikelihood
-        info = dict(k=k, n=n, log_likelihood=ll, bic=p * math.log(n) - 2 * ll, aic=2 * p - 2 * ll,
-                    min_occupancy=min(best.summary.clusterSizes) / n, iterations=best.summary.numIter)
-        return best, info
-    finally:
-        vec.unpersist()
-
-
-def select_k(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(2, 9), **kw) -> DataFrame:
-    """Diagnostics of one fit per k, best BIC first."""
-    rows = [gmm_fit(df, features, k, **kw)[1] for k in ks]
-    return df.sparkSession.createDataFrame([tuple(r.values()) for r in rows], "k int, n long, log_likelihood double, bic double, aic double, min_occupancy double, iterations int")
-
-
-def model_parameters(model) -> dict:
+MIXTURES = "k int, n long, log_likelihood double, bic double, aic double, min_occupancy double, iterations int, converged boolean"
+
+
+def _fit_best(df: DataFrame, features: Sequence[str], ks: Sequence[int], n_init: int, seed: int, max_iter: int, tol: float, floor: float) -> list[tuple[EM.Mixture, dict]]:
+    """For each k the likeliest of ``n_init`` starts and its diagnostics; all starts of all k share their passes."""
+    if not all(2 <= k <= 10 for k in ks):
+        raise ValueError("k must lie between 2 and 10")
+    starts = [EM.Mixture(k, seed + i) for k in ks for i in range(n_init)]
+    EM.fit_all(EM.vectors(df, features), starts, floor=floor, max_iter=max_iter, tol=tol)
+    out = []
+    for k in ks:
+        m = max((x for x in starts if x.k == k), key=lambda x: x.logs[-1])
+        p, ll = gmm_parameters(k, len(features)), m.log_likelihood
+        out.append((m, dict(k=k, n=m.rows, log_likelihood=ll, bic=p * math.log(m.rows) - 2 * ll, aic=2 * p - 2 * ll, min_occupancy=float(m.occupancy.min() / m.rows),
+                            iterations=m.iterations, converged=m.converged)))
+    return out
+
+
+def gmm_fit(df: DataFrame, features: Sequence[str], k: int, *, n_init: int = 5, seed: int = 42, max_iter: int = EM.MAX_ITER, tol: float = EM.TOLERANCE,
+            floor: float = EM.FLOOR) -> tuple[EM.Mixture, dict]:
+    """Best of ``n_init`` full-covariance fits; BIC, AIC, smallest occupancy of the hard labels, iterations and whether it converged."""
+    return _fit_best(df, features, [k], n_init, seed, max_iter, tol, floor)[0]
+
+
+def select_k(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(2, 9), *, n_init: int = 5, seed: int = 42, max_iter: int = EM.MAX_ITER, tol: float = EM.TOLERANCE,
+             floor: float = EM.FLOOR) -> DataFrame:
+    """Diagnostics of the best fit for each k, best BIC first."""
+    rows = [tuple(info.values()) for _, info in _fit_best(df, features, list(ks), n_init, seed, max_iter, tol, floor)]
+    return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[3]), MIXTURES)
+
+
+def model_parameters(model: EM.Mixture) -> dict:
     """weights, means and precision Cholesky factors of a fitted mixture (model-sized)."""
-    import numpy as np
-    means = [g.mean.toArray() for g in model.gaussians]
-    chol = []
-    for g in model.gaussians:
-        c = np.linalg.cholesky(g.cov.toArray())
-        chol.append(np.linalg.solve(c, np.eye(len(c))).T)
-    return dict(weights=list(model.weights), means=[m.tolist() for m in means], precisions_cholesky=[c.tolist() for c in chol])
+    return model.parameters()
 
 
 def frozen_gmm_score(df: DataFrame, features: Sequence[str], params: Mapping, prefix: str = "p_") -> DataFrame:
@@ -227,7 +228,6 @@ def frozen_gmm_score(df: DataFrame, features: Sequence[str], params: Mapping, pr
 
 def assign_states(features_df: DataFrame, features: Sequence[str], params: Mapping, step: int, chunk_rows: int = 4096) -> DataFrame:
     """Scored bars with max, margin, entropy, age, bars since transition and posterior changes."""
-    from barloom.sources.stage import stage
     k = len(params["weights"])
     s = frozen_gmm_score(features_df.dropna(subset=list(features)), features, params)
     s = stage(s.withColumns(posterior_scores(F.array(*[C(f"p_{j}") for j in range(k)]))))
@@ -251,22 +251,24 @@ def adjusted_rand(df: DataFrame, a: str, b: str, by: Sequence[str] = ("slice",))
 
 
 def label_stability(df: DataFrame, features: Sequence[str], k: int, *, order: Sequence[str], seeds: Sequence[int] = range(5), slices: int = 4,
-                    max_iter: int = 50) -> DataFrame:
-    """ARI of each pair of seeds, overall and per chronological slice."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-    from barloom.sources.stage import stage
-    d = number_rows(df, list(order))
+                    n_init: int = 5, max_iter: int = EM.MAX_ITER, tol: float = EM.TOLERANCE, floor: float = EM.FLOOR) -> DataFrame:
+    """ARI of each pair of seeds, overall (scope ALL) and per chronological slice, and of fits on single slices (scope FIT_i) with the first seed's labels.
+
+    Every fit labels all rows; all fits share their passes. Rows with a missing input are left out before the slices are cut.
+    """
+    d = number_rows(df.dropna(subset=list(features)), list(order))
     n = d.agg(F.count("*")).scalar()
-    d = stage(d.withColumn("slice", F.least(F.floor(C("idx") * slices / n), F.lit(slices - 1)).cast("int")))
-    out = VectorAssembler(inputCols=list(features), outputCol="features").transform(d).select("idx", "slice", "features")
-    for s in seeds:
-        m = GaussianMixture(k=k, seed=s, maxIter=max_iter, predictionCol=f"s{s}", probabilityCol=f"q{s}").fit(out)
-        out = m.transform(out).drop(f"q{s}")
-    pairs = [(a, b) for i, a in enumerate(seeds) for b in list(seeds)[i + 1:]]
-    item = F.explode(F.array(*[F.struct(F.lit(a).alias("seed_a"), F.lit(b).alias("seed_b"), C(f"s{a}").alias("a"), C(f"s{b}").alias("b")) for a, b in pairs]))
-    scope = F.explode(F.array(F.lit("ALL"), C("slice").cast("string")))
-    long = stage(out).select(item.alias("i"), "slice").select("i.*", scope.alias("scope"))
+    d = d.withColumn("slice", F.least(F.floor(C("idx") * slices / n), F.lit(slices - 1)).cast("int"))
+    rows = EM.vectors(d, features, "slice")
+    seeds = list(seeds)
+    starts = [[EM.Mixture(k, 1000 * s + i, part) for i in range(n_init)] for part, s in [*((None, s) for s in seeds), *((i, seeds[0]) for i in range(slices))]]
+    EM.fit_all(rows, [m for some in starts for m in some], floor=floor, max_iter=max_iter, tol=tol)
+    best = [max(some, key=lambda m: m.logs[-1]) for some in starts]
+    out = stage(EM.labelled(rows, best, [*[f"s{s}" for s in seeds], *[f"f{i}" for i in range(slices)]]))
+    pair = lambda a, b, x, y, scopes: F.struct(F.lit(a).alias("seed_a"), F.lit(b).alias("seed_b"), C(x).alias("a"), C(y).alias("b"), F.array(*scopes).alias("scopes"))
+    pairs = [pair(a, b, f"s{a}", f"s{b}", [F.lit("ALL"), C("slice").cast("string")]) for i, a in enumerate(seeds) for b in seeds[i + 1:]]
+    fits = [pair(seeds[0], seeds[0], f"s{seeds[0]}", f"f{i}", [F.lit(f"FIT_{i}")]) for i in range(slices)]
+    long = out.select(F.explode(F.array(*pairs, *fits)).alias("i")).select("i.seed_a", "i.seed_b", "i.a", "i.b", F.explode("i.scopes").alias("scope"))
     return adjusted_rand(long, "a", "b", ["seed_a", "seed_b", "scope"])
 
 
