@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.operators.timeline import running
+from barloom.sources.stage import stage
 
 C = F.col
 SMALL_GROUP = 10000
@@ -163,40 +164,83 @@ def long_conditions(df: DataFrame, event: str, fields: Sequence[str], targets: S
     return unpivot_targets(df.withColumn("conds", cond), [event, "conds"], targets)
 
 
+LOOKUP = 4096  # ranks of a bucket in which a rank is looked up
+
+
+def values_at(ranks: DataFrame, asked: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``asked`` (by, rank, ...) with the value that holds the 0-based rank, by rank buckets; ``ranks`` are ``value_ranks`` rows."""
+    span = F.sequence(F.floor(C("lt_n") / LOOKUP), F.floor((C("lt_n") + C("n") - 1) / LOOKUP))
+    held = ranks.select(*by, "_v", "lt_n", "n", F.explode(span).alias("_at"))
+    j = join_ns(asked.withColumn("_at", F.floor(C("rank") / LOOKUP)), held, [*by, "_at"])
+    return j.filter((C("lt_n") <= C("rank")) & (C("rank") < C("lt_n") + C("n"))).drop("_at", "lt_n", "n")
+
+
+def compare_rest(cells: DataFrame, universe: Sequence[str], cond: Sequence[str]) -> DataFrame:
+    """Each condition of a universe against the universe's other rows, from counts ``n`` per (universe, condition, value).
+
+    One rank index of the universe serves all its conditions: what lies below a value in the complement is what lies below it in the universe
+    less what lies below it in the condition, so no count is ever copied to another condition. The complement's median is the universe's value
+    at that rank, moved up by the condition's own values before it.
+    """
+    universe, own = list(universe), [*universe, *cond]
+    cells = stage(cells.select(*own, "value", "n"))
+    weight = {"n": C("n")}
+    every = stage(value_ranks(cells, universe, "value", weight))
+    mine = value_ranks(cells, own, "value", weight).withColumnsRenamed({"n": "_n", "lt_n": "_lt", "tot_n": "_own"})
+    j = join_ns(mine, every, [*universe, "_v"])
+    below, rest = C("lt_n") - C("_lt"), C("tot_n") - C("_own")
+    k = {"lo": F.floor((rest - 1) / 2), "hi": F.ceil((rest - 1) / 2)}
+    m = (C("_own") - 1) * 0.5
+    at = lambda r: F.max(F.when((C("_lt") <= r) & (r < C("_lt") + C("_n")), C("_v")))
+    g = j.groupBy(*own).agg(
+        F.max("_own").alias("left_observed"), F.sum(C("_v") * C("_n")).alias("_sum"), (at(F.floor(m)) + F.max(m - F.floor(m)) * (at(F.ceil(m)) - at(F.floor(m)))).alias("left_median"),
+        F.sum(C("_n") * below).cast("double").alias("greater"), F.sum(C("_n") * (C("n") - C("_n"))).cast("double").alias("ties"),
+        *[F.coalesce(F.sum(F.when(below <= r, C("_n"))), F.lit(0)).alias(f"_{s}") for s, r in k.items()])
+    whole = cells.groupBy(*universe).agg(F.sum("n").alias("_rows"), F.sum(F.when(C("value").isNotNull(), C("n"))).alias("_tot"), F.sum(C("value") * C("n")).alias("_all"))
+    out = join_ns(join_ns(cells.groupBy(*own).agg(F.sum("n").alias("left_rows")), whole, universe), g, own, "left")
+    none = F.when(C("_tot").isNotNull(), 0)
+    out = stage(out.withColumns({"right_rows": C("_rows") - C("left_rows"), "left_observed": F.coalesce("left_observed", none).cast("long"), "greater": F.coalesce("greater", none.cast("double")),
+                                 "ties": F.coalesce("ties", none.cast("double"))}).withColumn("right_observed", C("_tot") - C("left_observed")).filter("right_rows > 0"))
+    ends = F.explode(F.array(*[F.struct(F.lit(s).alias("end"), (r((C("right_observed") - 1) / 2) + F.coalesce(f"_{s}", F.lit(0))).alias("rank")) for s, r in (("lo", F.floor), ("hi", F.ceil))]))
+    asked = out.filter("right_observed > 0").select(*own, ends.alias("_e")).select(*own, "_e.*")
+    middle = values_at(every, asked, universe).groupBy(*own).agg(F.avg("_v").alias("right_median"))
+    some = C("pair_count") > 0
+    out = join_ns(out, middle, own, "left").withColumns({
+        "left_mean": F.when(C("left_observed") > 0, C("_sum") / C("left_observed")),
+        "right_mean": F.when(C("right_observed") > 0, (C("_all") - F.coalesce("_sum", F.lit(0.0))) / C("right_observed")),
+        "pair_count": (C("left_observed") * C("right_observed")).cast("double")})
+    out = out.withColumns({"less": C("pair_count") - C("greater") - C("ties"), "mean_difference": C("left_mean") - C("right_mean"), "median_difference": C("left_median") - C("right_median")})
+    return out.withColumns({"superiority": F.when(some, (C("greater") + C("ties") / 2) / C("pair_count")), "cliffs_delta": F.when(some, (C("greater") - C("less")) / C("pair_count"))}).select(
+        *own, "left_rows", "right_rows", "left_observed", "right_observed", "left_mean", "right_mean", "left_median", "right_median", "pair_count", "greater", "ties", "less",
+        "mean_difference", "median_difference", "superiority", "cliffs_delta")
+
+
 def scan_single(df: DataFrame, event: str, fields: Sequence[str], targets: Sequence[str]) -> DataFrame:
     """Every condition value against its same-event complement, for every target.
 
-    Rows are first counted per (event, target, field, condition, value).  Those counts,
-    not rows, are sent to the other conditions of the field as complement weights.
+    Rows are counted once per (event, target, field, condition, value); complements come by subtraction, so any number of conditions is linear.
     """
     cells = (long_conditions(df, event, fields, targets).select(C(event).alias("event"), "target", "value", F.explode("conds").alias("c"))
              .groupBy("event", "target", "c.field", "c.cond", "value").agg(F.count("*").alias("n")))
-    menu = cells.groupBy("event", "field").agg(F.sort_array(F.collect_set("cond")).alias("menu"))
-    spread = cells.join(menu, ["event", "field"]).withColumn("of", F.explode("menu"))
-    mine = C("of") == C("cond")
-    d = spread.select("event", "field", "target", C("of").alias("cond"), "value", F.when(mine, C("n")).otherwise(0).alias("l"),
-                      F.when(mine, 0).otherwise(C("n")).alias("r"))
-    return compare_weighted(d, ["event", "field", "cond", "target"]).filter("right_rows > 0")
+    return compare_rest(cells, ["event", "field", "target"], ["cond"])
 
 
 def scan_pairs(df: DataFrame, event: str, fields: Sequence[str], targets: Sequence[str]) -> DataFrame:
     """Joint condition pairs against the event rest, left-only and right-only rows.
 
-    The same counting as ``scan_single`` on pairs of fields; ``versus`` names the baseline.
+    The same counting as ``scan_single`` on pairs of fields; ``versus`` names the baseline, whose rows are the universe: the event, or the rows
+    that share the left or the right condition.
     """
     two = F.flatten(F.transform("conds", lambda a: F.transform(F.filter("conds", lambda b: b["field"] > a["field"]), lambda b: F.struct(
         a["field"].alias("f"), b["field"].alias("g"), a["cond"].alias("a"), b["cond"].alias("b")))))
     cells = (long_conditions(df, event, sorted(fields), targets).select(C(event).alias("event"), "target", "value", F.explode(two).alias("c"))
              .groupBy("event", "target", "c.f", "c.g", "c.a", "c.b", "value").agg(F.count("*").alias("n")))
-    menu = cells.groupBy("event", "f", "g").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("menu"))
-    s = cells.join(menu, ["event", "f", "g"]).withColumn("of", F.explode("menu"))
-    same_a, same_b = C("of.a") == C("a"), C("of.b") == C("b")
-    mine = same_a & same_b
-    versus = F.array_compact(F.array(F.lit("EVENT"), F.when(same_a, F.lit("LEFT")), F.when(same_b, F.lit("RIGHT"))))
-    d = s.withColumn("versus", F.explode(versus)).select(
-        "event", "f", "g", C("of.a").alias("a"), C("of.b").alias("b"), "target", "versus", "value",
-        F.when(mine, C("n")).otherwise(0).alias("l"), F.when(mine, 0).otherwise(C("n")).alias("r"))
-    return compare_weighted(d, ["event", "f", "g", "a", "b", "target", "versus"]).filter("right_rows > 0")
+    # the part of the pair that a baseline shares is its universe's; null is no condition text
+    item = lambda name, a, b: F.struct(F.lit(name).alias("versus"), a.alias("ua"), b.alias("ub"))
+    null = F.lit(None).cast("string")
+    each = F.explode(F.array(item("EVENT", null, null), item("LEFT", C("a"), null), item("RIGHT", null, C("b"))))
+    cells = cells.withColumn("_u", each).select("*", "_u.*")
+    return compare_rest(cells, ["event", "f", "g", "target", "versus", "ua", "ub"], ["a", "b"]).drop("ua", "ub")
 
 
 def pair_candidates(pairs: DataFrame) -> DataFrame:

@@ -92,3 +92,34 @@ def test_near_duplicates_match_pairs(spark):
             if i < j and 0 < diff <= 2:
                 want[(i, j)] = diff
     assert got == want
+
+
+def test_scan_of_many_conditions_matches_a_plain_one(spark):
+    """A field with 150 conditions, some of them without a value, and the pairs of two small fields."""
+    rng = np.random.default_rng(6)
+    p = pd.DataFrame(dict(e=rng.choice(["x", "y"], 1500), f=rng.integers(0, 150, 1500), g=rng.choice(["u", "v", "w"], 1500), h=rng.choice(["s", "t"], 1500), t=rng.integers(0, 40, 1500).astype(float)))
+    p.loc[p.f == 7, "t"] = np.nan
+    p.loc[::11, "t"] = np.nan
+    d = spark.createDataFrame([(r.e, int(r.f), r.g, r.h, None if np.isnan(r.t) else r.t) for r in p.itertuples()], "e string, f int, g string, h string, t double")
+
+    def plain(l, r):
+        a, b = l.t.dropna().to_numpy(), r.t.dropna().to_numpy()
+        gt, tie = int((a[:, None] > b).sum()), int((a[:, None] == b).sum())
+        pairs = len(a) * len(b)
+        mid = lambda v: float(np.median(v)) if len(v) else None
+        return (len(l), len(r), len(a), len(b), mid(a), mid(b), float(gt), float(tie), pytest.approx((2 * gt + tie - pairs) / pairs) if pairs else None)
+
+    said = lambda r: (r.left_rows, r.right_rows, r.left_observed, r.right_observed, r.left_median, r.right_median, r.greater, r.ties, r.cliffs_delta)
+    got = {(r.event, r.cond): said(r) for r in S.scan_single(d, "e", ["f"], ["t"]).collect()}
+    want = {(e, f'["int","{f}"]'): plain(x[x.f == f], x[x.f != f]) for e, x in p.groupby("e") for f in x.f.unique()}
+    assert got == want and len(got) > 250
+    got = {(r.event, r.a, r.b, r.versus): said(r) for r in S.scan_pairs(d, "e", ["g", "h"], ["t"]).collect()}
+    text = lambda v: f'["string","{v}"]'
+    want = {}
+    for e, x in p.groupby("e"):
+        for g in "uvw":
+            for h in "st":
+                both = (x.g == g) & (x.h == h)
+                for versus, rest in (("EVENT", ~both), ("LEFT", (x.g == g) & ~both), ("RIGHT", (x.h == h) & ~both)):
+                    want[(e, text(g), text(h), versus)] = plain(x[both], x[rest])
+    assert got == want
