@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.functions.scalars import posterior_scores
 from barloom.operators import mixtures as EM
-from barloom.operators.stats import flag_count, join_ns, outcome_distribution, quantiles, value_ranks, with_previous_state
+from barloom.operators.stats import flag_count, join_ns, outcome_distribution, rank_quantile, value_ranks, with_previous_state
 from barloom.operators.timeline import number_rows
 from barloom.sources.stage import stage
 
@@ -123,9 +123,13 @@ def evaluate_regression(d: DataFrame, by: Sequence[str] = ("model",), actual: st
     flat = (C("_va") == 0) | (C("_vp") == 0)
     g = g.withColumns({"root_mean_squared_error": F.sqrt("mean_squared_error"), "r_squared": F.when(C("_va") > 0, 1 - C("mean_squared_error") / C("_va")),
                        "pearson": F.when(~flat, C("_c"))}).drop("_va", "_vp", "_c")
-    for src, name in (("a", "actual_median"), ("p", "prediction_median"), ("r", "residual_median"), ("abs_r", "median_absolute_error")):
-        g = join_ns(g, quantiles(p, by, src, {name: 0.5}), by)
-    rank = lambda v: value_ranks(p, by, v).select(*by, C("_v").alias(v), (C("lt_n") + (C("n") + 1) / 2).alias(f"rank_{v}"))
+    # one rank pass for all four series
+    medians = {"a": "actual_median", "p": "prediction_median", "r": "residual_median", "abs_r": "median_absolute_error"}
+    series = F.explode(F.array(*[F.struct(F.lit(c).alias("series"), C(c).alias("value")) for c in medians]))
+    ranks = stage(value_ranks(p.select(*by, series.alias("_s")).select(*by, "_s.series", "_s.value"), [*by, "series"], "value"))
+    middle = ranks.groupBy(*by, "series").agg(rank_quantile(0.5).alias("m"))
+    g = join_ns(g, middle.groupBy(*by).agg(*[F.max(F.when(C("series") == c, C("m"))).alias(name) for c, name in medians.items()]), by)
+    rank = lambda v: ranks.filter(C("series") == v).select(*by, C("_v").alias(v), (C("lt_n") + (C("n") + 1) / 2).alias(f"rank_{v}"))
     cells = p.groupBy(*by, "a", "p").agg(F.count("*").alias("w"))
     cells = join_ns(join_ns(cells, rank("a"), [*by, "a"]), rank("p"), [*by, "p"])
     n, x, y, w = F.sum("w"), C("rank_a"), C("rank_p"), C("w")

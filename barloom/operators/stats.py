@@ -10,8 +10,6 @@ from barloom.operators.timeline import running
 from barloom.sources.stage import stage
 
 C = F.col
-SMALL_GROUP = 10000
-CUTS = 256
 
 
 def flag_count(cond: Column) -> Column:
@@ -30,25 +28,15 @@ def join_ns(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 def value_ranks(df: DataFrame, by: Sequence[str], value: str, weights: Mapping[str, Column] | None = None) -> DataFrame:
     """Distinct values per group with weights ``w``, weight below ``lt_w`` and total ``tot_w``.
 
-    Equal values are pre-aggregated, so ties cost one row.  The order inside a large
-    group is built from buckets cut at sketched quantiles: bucket-local running sums plus
-    the totals of earlier buckets.  Small groups stay in one bucket.
+    Equal values are pre-aggregated, so ties cost one row. The distinct values are range-partitioned over all groups and staged, so that parts are
+    balanced whatever a group's size; ranks are part-local running sums plus the totals of the group's earlier parts.
     """
     by = list(by)
     weights = weights or {"n": F.lit(1)}
     names = list(weights)
     d = (df.filter(C(value).isNotNull()).withColumn("_v", C(value).cast("double"))
          .groupBy(*by, "_v").agg(*[F.sum(w).cast("long").alias(k) for k, w in weights.items()]))
-    bounds = d.groupBy(*by).agg(F.count("*").alias("_size"),
-                                F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], CUTS * 8).alias("_cuts"))
-    # number of cuts below the value, found in two steps of about sqrt(CUTS) comparisons
-    fan = int(CUTS ** 0.5)
-    bounds = bounds.withColumn("_coarse", F.transform(F.sequence(F.lit(1), F.lit((CUTS - 1) // fan)), lambda i: F.element_at("_cuts", (i * fan).cast("int"))))
-    below = lambda cuts: F.size(F.filter(cuts, lambda x: x < C("_v")))
-    fine = C("_k") * fan + below(F.slice("_cuts", C("_k") * fan + 1, F.lit(fan - 1)))
-    large = C("_size") > SMALL_GROUP
-    d = join_ns(d, bounds, by).withColumn("_k", F.when(large, below("_coarse")))
-    d = d.withColumn("_b", F.when(large, fine).otherwise(0)).drop("_cuts", "_coarse", "_k", "_size")
+    d = stage(d.repartitionByRange(*by, "_v").withColumn("_b", F.spark_partition_id()))
     inner = W.partitionBy(*by, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     group = W.partitionBy(*by)
     before = group.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)

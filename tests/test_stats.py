@@ -1,4 +1,4 @@
-"""Rank statistics against brute force, with the large-group path forced on."""
+"""Rank statistics against brute force, over several parts."""
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,9 +8,7 @@ from barloom.operators import joins as J, ledger as G, stats as S
 
 
 @pytest.fixture
-def data(spark, monkeypatch):
-    monkeypatch.setattr(S, "SMALL_GROUP", 5)
-    monkeypatch.setattr(S, "CUTS", 8)
+def data(spark):
     rng = np.random.default_rng(7)
     p = pd.DataFrame(dict(g=rng.choice(["a", "b", "b", "b"], 900), v=rng.normal(size=900).round(2), left=rng.random(900) < 0.3))
     p.loc[::3, "v"] = 0.25  # a third of the rows share one value
