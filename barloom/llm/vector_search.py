@@ -148,10 +148,15 @@ def _search(candidates: DataFrame, queries: DataFrame, turn: np.ndarray, k: int,
     blocks = {r["shard"]: -(-r["count"] // BLOCK_QUERIES) for r in queries.groupBy("shard").count().collect()}
     if not blocks:
         return queries.sparkSession.createDataFrame([], FOUND)
-    many = queries.sparkSession.createDataFrame(list(blocks.items()), "shard int, blocks long")
+    if len(blocks) == 1:
+        (only, n), = blocks.items()
+        dealt = lambda d: d.filter(C("shard") == only).withColumn("blocks", F.lit(n).cast("long"))
+    else:
+        many = queries.sparkSession.createDataFrame(list(blocks.items()), "shard int, blocks long")
+        dealt = lambda d: d.join(F.broadcast(many), "shard")
     cols = ["shard", "block", "is_query", "vec_id", "v", "floor", "query_row"]
-    copies = candidates.join(F.broadcast(many), "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), C("blocks") - 1)))
-    asks = queries.join(F.broadcast(many), "shard").withColumns({"block": F.pmod(F.xxhash64("query_row"), C("blocks")), "is_query": F.lit(True)})
+    copies = dealt(candidates).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), C("blocks") - 1)))
+    asks = dealt(queries).withColumns({"block": F.pmod(F.xxhash64("query_row"), C("blocks")), "is_query": F.lit(True)})
     both = copies.withColumns({"is_query": F.lit(False), "floor": F.lit(0.0), "query_row": F.lit("")}).select(cols).unionByName(asks.select(cols))
     return both.repartition("shard", "block").sortWithinPartitions("shard", "block", "is_query").mapInPandas(run, FOUND)
 
