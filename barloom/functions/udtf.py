@@ -2,10 +2,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import udtf
 
+from barloom.sources.stage import stage
+
 
 @udtf(returnType="path string, value string")
 class FlattenJson:
@@ -27,10 +30,31 @@ class FlattenJson:
 
 
 def flatten_json_rows(df: DataFrame, text: str, ids: Sequence[str]) -> DataFrame:
-    """Lateral call of the table function; distinct documents are parsed once."""
-    docs = df.select(text).distinct()
-    leaves = docs.lateralJoin(FlattenJson(F.col(text).outer())).select(text, "path", "value")
-    return df.select(*ids, text).join(leaves, text).select(*ids, "path", "value")
+    """(ids, path, value) leaves of JSON documents: VARIANT values, opened one depth at a time inside the JVM.
+
+    Each depth is a generator over the rows that still hold objects or arrays; what is left to open is staged, so the
+    plan does not grow with the depth and the loop ends at the deepest document.  A null or malformed document and empty
+    objects and arrays have no leaves; of a repeated key the last value counts; a scalar document is one leaf with an empty path.
+    Values are JSON again, numbers in shortest form (2.50 is 2.5).
+    """
+    # Spark refuses repeated keys unless told otherwise
+    session = df.sparkSession
+    session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    keep = [f"_id{i}" for i in range(len(ids))]
+    kind = F.schema_of_variant("_v")
+    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    level = df.select(*[F.col(c).alias(k) for c, k in zip(ids, keep)], F.lit("").alias("_path"), F.try_parse_json(text).alias("_v")).filter("_v is not null")
+    leaves = []
+    while True:
+        level = stage(level.select(*keep, "_path", "_v", nested.alias("_open")))
+        leaves.append(level.filter(~F.col("_open")).select(*[F.col(k).alias(c) for c, k in zip(ids, keep)], F.col("_path").alias("path"), F.to_json("_v").alias("value")))
+        inner = level.filter("_open")
+        if inner.isEmpty():
+            return reduce(DataFrame.unionByName, leaves)
+        inner = inner.lateralJoin(session.tvf.variant_explode(F.col("_v").outer()).toDF("_at", "_key", "_in"))
+        dotted = F.when(F.col("_path") == "", F.col("_key")).otherwise(F.concat("_path", F.lit("."), "_key"))
+        path = F.when(F.col("_key").isNull(), F.concat("_path", F.lit("["), F.col("_at").cast("string"), F.lit("]"))).otherwise(dotted)
+        level = inner.select(*keep, path.alias("_path"), F.col("_in").alias("_v"))
 
 
 # fixed values: scalar helpers registered for SQL; Catalyst inlines their bodies

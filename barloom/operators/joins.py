@@ -31,11 +31,11 @@ def attach_state(trades: DataFrame, states: DataFrame, step: int = 900, entry: s
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], values: Sequence[str], *, left_ts: str = "ts",
-              right_ts: str = "ts", direction: str = "backward", bucket_seconds: int = 86400, prefix: str = "") -> DataFrame:
+              right_ts: str = "ts", direction: str = "backward", prefix: str = "") -> DataFrame:
     """Latest right row at or before (or first at or after) each left row, of any age.
 
-    Both sides meet in one time-ordered stream; the carried value is a two-level scan
-    over time buckets, so neither a symbol nor the table is ordered in one task.
+    Both sides meet in one time-ordered stream; the carried value is a two-level scan over chunks of equal depth, so
+    neither a symbol nor its busiest day is ordered in one task.
     """
     sign = 1 if direction == "backward" else -1
     order = lambda ts, side: F.unix_micros(ts) * (2 * sign) + side
@@ -44,7 +44,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], values: Sequ
         right.select(v.alias("v")).schema["v"].dataType).alias("_v"))
         .unionByName(right.select(*by, order(right_ts, 0).alias("_o"), F.lit(None).cast(
             left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType).alias("_l"), v.alias("_v"))))
-    out = running(u, {"_m": ("last", C("_v"))}, by=by, order="_o", chunk_rows=2_000_000 * bucket_seconds)
+    out = running(u, {"_m": ("last", C("_v"))}, by=by, order="_o", chunk_rows=None)
     return out.filter("_l is not null").select("_l.*", *[C("_m")[c].alias(f"{prefix}{c}") for c in values])
 
 
@@ -58,15 +58,13 @@ def range_join(points: DataFrame, ranges: DataFrame, by: Sequence[str], *, ts: s
     return p.join(r, [*by, "_b"]).filter((C(ts) >= C(start)) & (C(ts) < C(end))).drop("_b")
 
 
-def intervals_with_points(gaps: DataFrame, points: DataFrame, by: Sequence[str], *, lo: str, hi: str, ts: str = "ts",
-                          bucket_seconds: int = 86400) -> DataFrame:
+def intervals_with_points(gaps: DataFrame, points: DataFrame, by: Sequence[str], *, lo: str, hi: str, ts: str = "ts") -> DataFrame:
     """Flag intervals that strictly contain a point, by comparing running point counts at both ends."""
     p = points.select(*by, C(ts).alias("_t")).distinct()
-    counted = running(p.withColumn("_us", F.unix_micros("_t")), {"n": ("sum", F.lit(1).cast("long"))}, by=by, order="_us",
-                      chunk_rows=1_000_000 * bucket_seconds)
+    counted = running(p.withColumn("_us", F.unix_micros("_t")), {"n": ("sum", F.lit(1).cast("long"))}, by=by, order="_us", chunk_rows=None)
     g = gaps.withColumn("_before_hi", C(hi) - F.expr("INTERVAL 1 MICROSECOND"))
-    g = asof_join(g, counted, by, ["n"], left_ts=lo, right_ts="_t", prefix="lo_", bucket_seconds=bucket_seconds)
-    g = asof_join(g, counted, by, ["n"], left_ts="_before_hi", right_ts="_t", prefix="hi_", bucket_seconds=bucket_seconds)
+    g = asof_join(g, counted, by, ["n"], left_ts=lo, right_ts="_t", prefix="lo_")
+    g = asof_join(g, counted, by, ["n"], left_ts="_before_hi", right_ts="_t", prefix="hi_")
     inside = F.coalesce(C("hi_n"), F.lit(0)) > F.coalesce(C("lo_n"), F.lit(0))
     return g.withColumn("contains_point", inside).drop("_before_hi", "lo_n", "hi_n")
 
@@ -86,12 +84,11 @@ def overlapping_intervals(a: DataFrame, by: Sequence[str], *, id: str, start: st
             .select(*by, "a_id", "b_id"))
 
 
-def concurrent_trades(trades: DataFrame, *, start: str = "entry_ts", end: str = "exit_ts", group: str = "symbol",
-                      bucket: int = 3650) -> DataFrame:
+def concurrent_trades(trades: DataFrame, *, start: str = "entry_ts", end: str = "exit_ts", group: str = "symbol") -> DataFrame:
     """Per trade, how many trades of other groups overlap it (strict on both ends).
 
     No pairs are formed: overlaps = starts before my end - ends up to my start, once over
-    all groups and once in my own, from running counts per distinct day or instant.
+    all groups and once in my own, from running counts per distinct day or instant, scanned in chunks of equal depth.
     """
     point = trades.select(group, F.explode(F.array(
         F.struct(C(start).alias("t"), F.lit(1).alias("s"), F.lit(0).alias("e"), (C(start) == C(end)).cast("int").alias("z")),
@@ -101,8 +98,7 @@ def concurrent_trades(trades: DataFrame, *, start: str = "entry_ts", end: str =
         *[F.sum(c).alias(c) for c in "sez"])
     is_date = dict(trades.dtypes)[start] == "date"
     axis = F.unix_date("t") if is_date else F.unix_micros("t")
-    width = bucket if is_date else bucket * 86_400_000_000
-    c = running(sums.withColumn("_o", axis.cast("long")), {"cs": ("sum", C("s")), "ce": ("sum", C("e"))}, by=("g",), order="_o", chunk_rows=width)
+    c = running(sums.withColumn("_o", axis.cast("long")), {"cs": ("sum", C("s")), "ce": ("sum", C("e"))}, by=("g",), order="_o", chunk_rows=None)
     c = c.select("g", "t", (C("cs") - C("s")).alias("starts_before"), C("ce").alias("ends_upto"), "z")
     out = trades
     for tag, g in (("all", F.lit("*")), ("own", C(group))):

@@ -66,7 +66,9 @@ def gap_inventory(classified: DataFrame, step: int, *, profile: WeekProfile = We
 
     A gap that contains an unreliable excluded timestamp always resets.  That test needs
     no range join: excluded rows are flagged events in the same ordered scan, and the
-    count of events before each bar is a prefix sum.
+    count of events before each bar is a prefix sum.  A row without a timestamp could lie
+    anywhere: every retained bar of its key is then a segment of its own, while the gap
+    table keeps the segments that the located rows give.
     """
     keys = list(keys)
     valid = classified.filter(C("classification") == "VALID")
@@ -100,7 +102,9 @@ def gap_inventory(classified: DataFrame, step: int, *, profile: WeekProfile = We
         classify_gap("prev_ts", "ts", step, profile).alias("classification"),
         (C("excluded") > C("_pe")).alias("invalid_bar_exclusion"), (C("seg_pos") == 0).alias("reset"),
         C("seg").alias("next_segment_id"))
-    return seg.drop("excluded"), gaps
+    unlocatable = classified.filter("classification = 'INVALID_TIMESTAMP'").select(*keys).distinct().withColumn("_lost", F.lit(True))
+    seg = seg.join(unlocatable, keys, "left").withColumns({"seg": F.when(C("_lost"), C("pos")).otherwise(C("seg")), "seg_pos": F.when(C("_lost"), 0).otherwise(C("seg_pos"))})
+    return seg.drop("excluded", "_lost"), gaps
 
 
 def _excluded_before(marks: DataFrame, keys: list[str], bucket: Column) -> DataFrame:

@@ -112,15 +112,16 @@ def chunked(df: DataFrame, fn: Callable[[DataFrame, W], DataFrame], back: int =
 
 
 def running(df: DataFrame, specs: dict[str, tuple[str, Column]], *, by: Sequence[str] = ("symbol", "seg"),
-            order: str = "pos", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            order: str = "pos", chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Unbounded running aggregates (row included) of kinds sum, max, min, last, prev.
 
     ``last`` is the latest non-null value, ``prev`` the latest before the row.  Each chunk is scanned on its own; only
-    one summary row per (by, chunk) is ordered globally.
+    one summary row per (by, chunk) is ordered globally.  Chunks are ``chunk_rows`` wide on the order axis where its
+    density is bounded (positions); with None they hold about equal numbers of rows (``equal_depth``).
     """
     by = list(by)
     part = [*by, "_chunk"]
-    df = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_rows)))
+    df = equal_depth(df, by, order) if chunk_rows is None else df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_rows)))
     for name, (_, expr) in specs.items():
         df = df.withColumn(f"_in_{name}", expr)
     scan = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
@@ -150,6 +151,17 @@ def running(df: DataFrame, specs: dict[str, tuple[str, Column]], *, by: Sequence
             .select(*kept, *final))
 
 
+def equal_depth(df: DataFrame, by: Sequence[str], order: str, name: str = "_chunk") -> DataFrame:
+    """Staged rows with a chunk number that never falls along (by, order); chunks hold about equal numbers of rows.
+
+    The borders come from Spark's sampled range partitioning, so they follow the data: a busy hour of one key gets as
+    many chunks as a quiet year, and there are as many as ``spark.sql.shuffle.partitions``.  Rows with equal (by, order)
+    share a chunk.  The number is staged with the rows, since a second sampling could draw other borders.
+    """
+    from barloom.sources.stage import stage
+    return stage(df.repartitionByRange(*by, order).withColumn(name, F.spark_partition_id()))
+
+
 def islands(df: DataFrame, same_as_prev: Column, name: str = "run", **kw) -> DataFrame:
     """Number maximal runs: ``same_as_prev`` is true when a row continues the run."""
     return running(df, {name: ("sum", F.when(same_as_prev, 0).otherwise(1).cast("long"))}, **kw)

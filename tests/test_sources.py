@@ -1,5 +1,6 @@
 """Files, hour blobs, archive merge, stage, quality on hot groups."""
 import gzip
+import json
 import lzma
 import os
 import struct
@@ -8,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.functions.udtf import flatten_json_rows
 from barloom.operators import quality as Q
 from barloom.sources import files as A, ticks as K
 from barloom.sources.stage import stage
@@ -126,3 +128,30 @@ def test_upsert_looks_inside_the_batch(spark):
     d = H.memory_upsert(memory, inc)
     assert {(r.candidate_id, r.action) for r in d.collect()} == {("a", "CONFLICT"), ("b", "NEW"), ("c", "DUPLICATE_FINGERPRINT"), ("d", "DUPLICATE_FINGERPRINT"), ("m", "NO_OP"), ("e", "NEW")}
     assert sorted(r.candidate_id for r in H.apply_upsert(memory, d.filter("action <> 'CONFLICT'")).collect()) == ["b", "e", "m"]
+
+
+def test_json_leaves_by_depth(spark):
+    def leaves(path, node):
+        if isinstance(node, dict):
+            return [x for k, v in node.items() for x in leaves(f"{path}.{k}" if path else k, v)]
+        if isinstance(node, list):
+            return [x for i, v in enumerate(node) for x in leaves(f"{path}[{i}]", v)]
+        return [(path, node)]
+    texts = ['{"a":1,"b":{"c":[1,2.5,{"d":"x\\"y"}],"e":null},"f":[],"g":{}}', None, "{bad", "7", "[true,1e3,12345678901234567890,\"é\"]", "null", '{"a.b":{"":1}}', "", "[" * 30 + "1" + "]" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "path long, text string")  # an id column with the name of a result column
+    out = flatten_json_rows(df.withColumnRenamed("path", "value_of"), "text", ["value_of"])
+    assert "Python" not in out._jdf.queryExecution().toString()
+    got = sorted((r.value_of, r.path, json.loads(r.value)) for r in out.collect() if r.value is not None)
+    want = sorted(((i, p, v) for i, t in enumerate(texts) if t and t != "{bad" for p, v in leaves("", json.loads(t))), key=lambda x: x[:2])
+    assert sorted(got, key=lambda x: x[:2]) == want
+    assert flatten_json_rows(df.limit(0), "text", ["path"]).count() == 0
+
+
+def test_lost_instants_split_every_bar(spark):
+    rows = [(k, t, 1.0, 2.0, 0.5, 1.5, t or 0) for k in "AB" for t in [*range(0, 3600 * 6, 3600), 3600 * 9]] + [("A", None, 1.0, 2.0, 0.5, 1.5, 99)]
+    raw = spark.createDataFrame(rows, "symbol string, s long, open double, high double, low double, close double, seq long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    seg, gaps = Q.gap_inventory(Q.sanitize(raw, 3600), 3600)
+    got = seg.orderBy("symbol", "ts").select("symbol", "seg", "seg_pos").collect()
+    assert [(r.seg, r.seg_pos) for r in got if r.symbol == "A"] == [(i, 0) for i in range(7)]
+    assert [(r.seg, r.seg_pos) for r in got if r.symbol == "B"] == [(0, i) for i in range(6)] + [(1, 0)]
+    assert sorted((r.symbol, r.missing_slots, r.next_segment_id) for r in gaps.collect()) == [("A", 3, 1), ("B", 3, 1)]

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import joins as J, ledger as G, stats as S
+from barloom.operators import joins as J, ledger as G, stats as S, timeline
 
 
 @pytest.fixture
@@ -39,12 +39,37 @@ def test_concurrency_matches_pairs(spark):
     start = rng.integers(0, 60, 200)
     p = pd.DataFrame(dict(id=range(200), symbol=rng.choice(list("xyz"), 200), entry_ts=pd.to_datetime("2024-01-01") + pd.to_timedelta(start, unit="D")))
     p["exit_ts"] = p.entry_ts + pd.to_timedelta(rng.integers(0, 9, 200), unit="D")  # some have no length
-    got = J.concurrent_trades(spark.createDataFrame(p), bucket=10).toPandas().set_index("id").overlaps
+    got = J.concurrent_trades(spark.createDataFrame(p)).toPandas().set_index("id").overlaps
     for r in p.itertuples():
         other = p[(p.symbol != r.symbol) & (p.entry_ts < r.exit_ts) & (r.entry_ts < p.exit_ts)]
         assert got[r.id] == len(other), r
 
 
+def test_busy_hour_is_many_chunks(spark):
+    rng = np.random.default_rng(6)
+    quiet = rng.integers(0, 3 * 365 * 86400, 1000)
+    busy = 400 * 86400 + rng.integers(0, 3600, 9000)  # nine tenths of one symbol lie in an hour
+    start = pd.to_datetime("2024-01-01") + pd.to_timedelta(np.r_[quiet, busy], unit="s")
+    p = pd.DataFrame(dict(id=range(10000), symbol="x", entry_ts=start, exit_ts=start + pd.to_timedelta(rng.integers(1, 900, 10000), unit="s")))
+    p.loc[::2, "symbol"] = "y"
+    d = spark.createDataFrame(p)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # parts this small would be put together
+    try:
+        sizes = [r["count"] for r in timeline.equal_depth(d.withColumn("_o", F.unix_micros("entry_ts")), [], "_o").groupBy("_chunk").count().collect()]
+        got = J.concurrent_trades(d).toPandas().set_index("id").overlaps
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) <= 4 * np.median(sizes)
+    for r in p.sample(300, random_state=1).itertuples():
+        other = p[(p.symbol != r.symbol) & (p.entry_ts < r.exit_ts) & (r.entry_ts < p.exit_ts)]
+        assert got[r.id] == len(other), r
+    left = d.select("id", "symbol", F.col("entry_ts").alias("ts"))
+    back = J.asof_join(left, d.select("symbol", "exit_ts"), ["symbol"], ["exit_ts"], right_ts="exit_ts").toPandas().set_index("id").exit_ts
+    for r in p.sample(300, random_state=2).itertuples():
+        done = p[(p.symbol == r.symbol) & (p.exit_ts <= r.entry_ts)].exit_ts
+        assert (pd.isna(back[r.id]) and done.empty) or back[r.id] == done.max()
+
+
 def test_path_metrics_and_detail(spark):
     rng = np.random.default_rng(11)
     r = rng.choice([-1.0, -0.5, 0.0, 0.5, 1.0], 700)
