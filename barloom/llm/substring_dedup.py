@@ -2,26 +2,29 @@
 
 Windows of 13 words are the edges of a De Bruijn graph over words. An edge is named by the first place where it occurs, its source coordinate
 (smallest document id, then position). Edges that occur in a document with a larger id are repeated; where such edges follow each other both
-in the document and at the source, without a branch, they compact into one span (document, start, source document, source start). Words
-covered by repeated edges are removed, judged on the input. A span counts only if the words at its place have the digest of the words at its source;
-where they differ, each of its windows is compared by itself.
+in the document and at the source, without a branch, they are one path. Paths compact through joins: an edge is a head if no edge ends where it starts,
+at the same distance to the same source, and a tail if none starts where it ends; the n-th head and the n-th tail of a distance bound a span
+(document, start, source document, source start). Words covered by repeated edges are removed, judged on the input. A span counts only if the
+words at its place have the digest of the words at its source; where they differ, each of its windows is compared by itself.
 
-To keep edges together without moving each alone, windows travel in runs: consecutive windows that share the smallest hash among their six-word
-sequences (their minimizer) form one row, and equal windows always have equal minimizers. Runs whose minimizer occurs in one document only end there.
-An edge is named by the minimizer and a 64-bit hash of the whole window, so windows that share a hot minimizer are told apart by 64 bits.
+Edges travel in runs: consecutive windows that share the smallest hash among their six-word sequences (their minimizer) form one row, and equal
+windows always have equal minimizers. A first pass over the texts counts minimizers only and finds those of two documents or more; the second
+makes runs of these alone, told by a Bloom bitmap of bounded size (what it lets through too much, the edges themselves sort out). An edge is
+named by the minimizer and a 64-bit hash of the whole window, so windows that share a hot minimizer are told apart by 64 bits.
 
 Defined cases: null text has no words; texts of fewer than 13 words lose nothing; rows with a null id neither lend nor lose; rows with equal id are
-never each other's source; repeats inside one document stay; an empty table gives an empty result; extra columns are not read.
+never each other's source, and their edges stay as short as their runs; repeats inside one document stay; an empty table gives an empty result; extra
+columns are not read.
 """
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import BooleanType, LongType
 
 from barloom.llm.common import C
 from barloom.llm.near_dedup import SLICE, WordHashes, sequence_hashes
@@ -29,6 +32,42 @@ from barloom.sources.stage import stage
 
 WINDOW = 13
 ANCHOR = 6
+FILTER_BITS = 29  # log2 of the bits of a bitmap at most, 64 MB; when crowded it lets more through and results stay the same
+
+
+class Members:
+    """Bloom bitmap with two probes over well-mixed 64-bit keys; ``in`` for arrays, never false for a member."""
+
+    def __init__(self, keys: DataFrame, key: str):
+        self.bits = min(FILTER_BITS, max(6, (16 * keys.count()).bit_length()))
+        slot = F.explode(F.expr(f"array(`{key}` & {(1 << self.bits) - 1}L, shiftrightunsigned(`{key}`, {FILTER_BITS}) & {(1 << self.bits) - 1}L)"))
+        words = keys.select(slot.alias("slot")).groupBy(F.expr("shiftright(slot, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("word")).toArrow()
+        bitmap = np.zeros(1 << self.bits - 6, np.uint64)
+        bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+        self.bitmap = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        bitmap, keys, found = self.bitmap.value, keys.astype(np.int64, copy=False).view(np.uint64), None
+        for shift in (0, FILTER_BITS):
+            slot = (keys >> np.uint64(shift)) & np.uint64((1 << self.bits) - 1)
+            hit = (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)
+            found = hit if found is None else found & hit
+        return found.astype(bool)
+
+
+@F.pandas_udf(LongType())
+def mixed_id(ids: pd.Series) -> pd.Series:
+    return pd.Series(sequence_hashes(ids.to_numpy(np.int64).view(np.uint64), 1).view(np.int64))
+
+
+def may_be_of(ids: DataFrame, id_col: str) -> Column:
+    """Condition on a long column: false only if it is none of ``ids`` (doc)."""
+    members = Members(ids.select(mixed_id("doc").alias("key")), "key")
+
+    @F.pandas_udf(BooleanType())
+    def told(ids: pd.Series) -> pd.Series:
+        return pd.Series(members.maybe(sequence_hashes(ids.fillna(0).to_numpy(np.int64).view(np.uint64), 1).view(np.int64)))
+    return told(C(id_col).cast("long"))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -43,51 +82,99 @@ def digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def window_runs(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer and first window of each run, and the hashes of all windows."""
+def window_runs(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minimizer and first window of each run."""
     small = sequence_hashes(words, anchor)
     places = np.arange(len(words) - window + 1)
     least = places + np.lib.stride_tricks.sliding_window_view(small, window - anchor + 1).argmin(1)
     first = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
-    return small[least[first]].view(np.int64), first, window_hashes(words, window)
+    return small[least[first]].view(np.int64), first
+
+
+def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.filter(C(id_col).isNotNull()).select(C(id_col).cast("long").alias("doc_id"), C(text_col).cast("string").alias("text"))
+
+
+def minimizers(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int) -> DataFrame:
+    """(v, doc): the distinct minimizers of each document."""
+    def run(batches):
+        hashes = WordHashes()
+        for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
+            v, doc = [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                if len(words) >= window:
+                    v.append(np.unique(window_runs(hashes.of(words), window, anchor)[0]))
+                    doc.append(np.full(len(v[-1]), i, np.int64))
+            if v:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)), pa.array(np.concatenate(doc))], names=["v", "doc"])
+
+    return located(docs, id_col, text_col).mapInArrow(run, "v long, doc long")
 
 
-def runs(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int) -> DataFrame:
-    """(v, doc, pos, hs): minimizer, document, position of the first window and the hashes of the run's windows."""
+def runs(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int, shared: Members) -> DataFrame:
+    """(v, doc, pos, hs): minimizer, document, position of the first window and the hashes of the windows of the runs that may be shared."""
     def run(batches):
         hashes = WordHashes()
         for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
-            v, doc, pos, hs, cuts, at = [], [], [], [], [], 0
+            v, doc, pos, hs, sizes = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
                 if len(words) < window:
                     continue
-                least, first, h = window_runs(hashes.of(words), window, anchor)
-                v.append(least)
-                doc.append(np.full(len(first), i, np.int64))
-                pos.append(first.astype(np.int32))
-                cuts.append(first + at)
-                hs.append(h)
-                at += len(h)
+                known = hashes.of(words)
+                least, first = window_runs(known, window, anchor)
+                take = shared.maybe(least)
+                if take.any():
+                    size = np.diff(np.append(first, len(words) - window + 1))
+                    v.append(least[take])
+                    doc.append(np.full(len(v[-1]), i, np.int64))
+                    pos.append(first[take].astype(np.int32))
+                    sizes.append(size[take])
+                    hs.append(window_hashes(known, window)[np.repeat(take, size)])
             if v:
-                lists = pa.ListArray.from_arrays(pa.array(np.append(np.concatenate(cuts), at).astype(np.int32)), pa.array(np.concatenate(hs)))
+                cuts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(hs)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(pos)), lists], names=["v", "doc", "pos", "hs"])
 
-    rows = docs.filter(C(id_col).isNotNull()).select(C(id_col).cast("long").alias("doc_id"), C(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "v long, doc long, pos int, hs array<long>")
+    return located(docs, id_col, text_col).mapInArrow(run, "v long, doc long, pos int, hs array<long>")
+
+
+def repeated_edges(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int) -> DataFrame:
+    """(doc, src_doc, apart, first, last): repeated edges that follow each other within one run; ``apart`` is the distance to the source.
+
+    A run has at most ``window - anchor + 1`` windows, so its edges of one distance are a small set of bits.
+    """
+    count = minimizers(docs, id_col, text_col, window, anchor).groupBy("v").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    shared = Members(stage(count.filter("lo < hi").select("v")), "v")
+    edges = runs(docs, id_col, text_col, window, anchor, shared).repartition("v").select("v", "doc", "pos", F.posexplode("hs").alias("i", "h"))
+    edges = edges.withColumn("src", F.min(F.struct("doc", (C("pos") + C("i")).alias("pos"))).over(W.partitionBy("v", "h"))).filter("src.doc < doc")
+    edges = edges.select("v", "doc", "pos", "i", C("src.doc").alias("src_doc"), (C("pos") + C("i") - C("src.pos")).alias("apart"))
+    g = edges.groupBy("v", "doc", "pos", "src_doc", "apart").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.expr("bit_or(shiftleft(1L, i))").alias("bits"))
+    whole = F.expr("bit_count(bits) = hi - lo + 1")
+    parts = F.when(whole, F.array(F.struct("lo", "hi"))).otherwise(F.expr("transform(filter(sequence(lo, hi), k -> shiftright(bits, k) & 1L = 1L), k -> named_struct('lo', k, 'hi', k))"))
+    return g.select("doc", "src_doc", "apart", "pos", F.explode(parts).alias("p")).select("doc", "src_doc", "apart", (C("pos") + C("p.lo")).alias("first"), (C("pos") + C("p.hi")).alias("last"))
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """(doc, src_doc, apart, first, last) of the nonbranching paths: heads and tails by anti-joins, paired in order along each distance.
+
+    Edges of one document and distance must not overlap.
+    """
+    line = ["doc", "src_doc", "apart"]
+    starts, ends = edges.select(*line, C("first").alias("at")), edges.select(*line, (C("last") + 1).alias("at"))
+    nth = F.row_number().over(W.partitionBy(*line).orderBy("at"))
+    heads = starts.join(ends, [*line, "at"], "left_anti").select(*line, nth.alias("n"), C("at").alias("first"))
+    tails = ends.join(starts, [*line, "at"], "left_anti").select(*line, nth.alias("n"), (C("at") - 1).alias("last"))
+    return heads.join(tails, [*line, "n"]).drop("n")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc, start, n_words, src_doc, src_start) of the compacted spans, by hashes only; they may overlap."""
-    by_v = W.partitionBy("v")
-    shared = runs(docs, id_col, text_col, window, anchor).withColumns({"lo": F.min("doc").over(by_v), "hi": F.max("doc").over(by_v)}).filter("lo < hi")
-    edges = shared.select("v", "doc", "pos", F.posexplode("hs").alias("i", "h")).select("v", "h", "doc", (C("pos") + C("i")).alias("pos"))
-    edges = edges.withColumn("src", F.min(F.struct("doc", "pos")).over(W.partitionBy("v", "h"))).filter("src.doc < doc").select("doc", "pos", C("src.doc").alias("src_doc"), C("src.pos").alias("src_pos"))
-    along = W.partitionBy("doc").orderBy("pos", "src_doc", "src_pos")
-    follows = (F.lag("pos").over(along) + 1 == C("pos")) & (F.lag("src_doc").over(along) == C("src_doc")) & (F.lag("src_pos").over(along) + 1 == C("src_pos"))
-    paths = edges.withColumn("head", F.when(follows, 0).otherwise(1)).withColumn("path", F.sum("head").over(along.rowsBetween(W.unboundedPreceding, 0)))
-    spans = paths.groupBy("doc", "path").agg(F.min("pos").alias("start"), F.max("pos").alias("last"), F.first("src_doc").alias("src_doc"), F.min("src_pos").alias("src_start"))
-    return spans.select("doc", "start", (C("last") - C("start") + window).alias("n_words"), "src_doc", "src_start")
+    edges = stage(repeated_edges(docs, id_col, text_col, window, anchor))
+    often = stage(docs.filter(C(id_col).isNotNull()).groupBy(C(id_col).cast("long").alias("doc")).count().filter("count > 1").select("doc"))
+    spans = compacted(edges.join(often, "doc", "left_anti")).unionByName(edges.join(often, "doc", "left_semi"))
+    return spans.select("doc", C("first").alias("start"), (C("last") - C("first") + window).alias("n_words"), "src_doc", (C("first") - C("apart")).alias("src_start"))
 
 
 def slice_digests(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -106,7 +193,8 @@ def slice_digests(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str)
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc", "start", "n_words", "src_doc", "src_start", "digest"])
 
-    rows = docs.select(C(id_col).cast("long").alias("doc_id"), C(text_col).cast("string").alias("text")).join(wanted, C("doc_id") == C("of"))
+    ids = spans.select("doc").union(spans.select("src_doc")).distinct()
+    rows = located(docs, id_col, text_col).filter(may_be_of(ids, "doc_id")).join(wanted, C("doc_id") == C("of"))
     return rows.select("doc_id", "text", "slices").mapInArrow(run, "doc long, start int, n_words int, src_doc long, src_start int, digest binary")
 
 
@@ -125,19 +213,10 @@ def verified_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", te
     return same.select("doc", "start", "n_words", "digest")
 
 
-def _release(spark: SparkSession) -> None:
-    """Shuffle files of finished steps go now, not when the driver happens to collect its garbage; the first round only lets go of the plans."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, n_words, n_removed, text): each document without its repeated words, the others joined by one space."""
     spans = stage(repeated_spans(docs, id_col, text_col, window, anchor))
-    _release(docs.sparkSession)
-    per_doc = verified_spans(docs, spans, id_col, text_col, window).groupBy(C("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "n_words", "digest")).alias("spans"))
+    per_doc = stage(verified_spans(docs, spans, id_col, text_col, window).groupBy(C("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "n_words", "digest")).alias("spans")))
 
     def run(batches):
         for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
@@ -157,8 +236,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(C(id_col).alias("doc_id"), C(text_col).cast("string").alias("text")).join(per_doc, C("doc_id") == C("_doc"), "left")
-    return own.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, text string")
+    own = docs.select(C(id_col).alias("doc_id"), C(text_col).cast("string").alias("text"), C(id_col).cast("long").alias("_id"))
+    told = own.withColumn("_told", C("_id").isNotNull() & may_be_of(per_doc.select(C("_doc").alias("doc")), "_id"))
+    whole = told.filter(~C("_told")).select("doc_id", "text", F.lit(None).cast(per_doc.schema["spans"].dataType).alias("spans"))
+    cut = told.filter("_told").join(per_doc, C("_id") == C("_doc"), "left").select("doc_id", "text", "spans")
+    return whole.unionByName(cut).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, text string")
 
 
 SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
