@@ -19,20 +19,25 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import BooleanType, LongType
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from barloom.llm import exact_dedup
 from barloom.llm.common import C
-from barloom.llm.near_dedup import SLICE, WordHashes, sequence_hashes
+from barloom.llm.near_dedup import sequence_hashes
 from barloom.sources.stage import stage
 
 WINDOW = 13
 ANCHOR = 6
 FILTER_BITS = 29  # log2 of the bits of a bitmap at most, 64 MB; when crowded it lets more through and results stay the same
+SLICE_ROWS = 256
+SLICE_BYTES = 1 << 20  # texts are worked on in slices of about this size; a longer text is a slice of its own
+CACHE_WORDS = 200_000
 
 
 class Members:
@@ -55,40 +60,69 @@ class Members:
         return found.astype(bool)
 
 
-@F.pandas_udf(LongType())
-def mixed_id(ids: pd.Series) -> pd.Series:
-    return pd.Series(sequence_hashes(ids.to_numpy(np.int64).view(np.uint64), 1).view(np.int64))
+def told(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with column ``_told``: false only where ``doc_id`` is none of ``ids`` (doc). A bitmap of bounded size is broadcast."""
+    bits, n = exact_dedup.BLOCK_BITS, ids.count()
+    while bits < min(1 << FILTER_BITS, 16 * n):
+        bits *= 2
+    blocks = bits // exact_dedup.BLOCK_BITS
+    block, slots = exact_dedup._slots(C("digest"), blocks)
+    held = ids.select(C("doc").alias("digest")).select(block.alias("block"), F.explode(slots).alias("slot")).groupBy("block").agg(F.expr("bitmap_construct_agg(slot)").alias("bits"))
+    marked = exact_dedup.flag_repeated(docs.withColumn("digest", C("doc_id").cast("long")), held, blocks)
+    return marked.withColumn("_told", C("doc_id").isNotNull() & C("maybe_repeated")).drop("digest", "maybe_repeated")
 
 
-def may_be_of(ids: DataFrame, id_col: str) -> Column:
-    """Condition on a long column: false only if it is none of ``ids`` (doc)."""
-    members = Members(ids.select(mixed_id("doc").alias("key")), "key")
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split()
 
-    @F.pandas_udf(BooleanType())
-    def told(ids: pd.Series) -> pd.Series:
-        return pd.Series(members.maybe(sequence_hashes(ids.fillna(0).to_numpy(np.int64).view(np.uint64), 1).view(np.int64)))
-    return told(C(id_col).cast("long"))
 
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
 
+def slices(batches, text: int = 1):
+    """The batches in slices of bounded rows and text, but for single long texts."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        part = np.stack([np.cumsum(size.astype(np.int64)) // SLICE_BYTES, np.arange(len(size)) // SLICE_ROWS])
+        cuts = [0, *(np.flatnonzero((part[:, 1:] != part[:, :-1]).any(0)) + 1).tolist(), len(size)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo < hi:
+                yield batch.slice(lo, hi - lo)
 
-def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
-    return sequence_hashes(words, window).view(np.int64)
 
+class Hashes(dict):
+    """64-bit hashes of words; emptied between slices when it holds too many."""
 
-def digest(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
 
-def window_runs(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Minimizer and first window of each run."""
-    small = sequence_hashes(words, anchor)
-    places = np.arange(len(words) - window + 1)
-    least = places + np.lib.stride_tricks.sliding_window_view(small, window - anchor + 1).argmin(1)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
-    return small[least[first]].view(np.int64), first
+def least_of(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each ``width`` successive values, in doubling steps."""
+    out, step = values, 1
+    while step < width:
+        more = min(step, width - step)
+        out = np.minimum(out[:-more], out[more:])
+        step += more
+    return out
+
+
+def windows_of(texts: list[str | None], known: Hashes, window: int, anchor: int):
+    """Word hashes of all texts in a row; of each window within a text, its place in that row, its text, its position there and its minimizer."""
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    words = [words_of(t) for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    row = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, sizes.sum())
+    text = np.repeat(np.arange(len(sizes)), np.maximum(sizes - window + 1, 0))
+    if not len(text):
+        return row, text, text, text, text
+    per = np.maximum(sizes - window + 1, 0)
+    pos = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+    at = pos + np.repeat(np.cumsum(sizes) - sizes, per)
+    return row, at, text, pos, least_of(sequence_hashes(row, anchor), window - anchor + 1)[at].view(np.int64)
 
 
 def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -96,46 +130,44 @@ def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def minimizers(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int) -> DataFrame:
-    """(v, doc): the distinct minimizers of each document."""
+    """(v, lo, hi): minimizers with the smallest and largest document of a slice of the texts."""
     def run(batches):
-        hashes = WordHashes()
-        for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
-            v, doc = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
-                if len(words) >= window:
-                    v.append(np.unique(window_runs(hashes.of(words), window, anchor)[0]))
-                    doc.append(np.full(len(v[-1]), i, np.int64))
-            if v:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)), pa.array(np.concatenate(doc))], names=["v", "doc"])
+        known = Hashes()
+        for part in slices(batches):
+            ids = part.column(0).to_numpy()
+            _, _, text, _, v = windows_of(part.column(1).to_pylist(), known, window, anchor)
+            if len(v):
+                new = np.concatenate([[True], (v[1:] != v[:-1]) | (text[1:] != text[:-1])])
+                v, doc = v[new], ids[text[new]]
+                order = np.argsort(v, kind="stable")
+                v, doc = v[order], doc[order]
+                first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(v[first]), pa.array(np.minimum.reduceat(doc, first)), pa.array(np.maximum.reduceat(doc, first))], names=["v", "lo", "hi"])
 
-    return located(docs, id_col, text_col).mapInArrow(run, "v long, doc long")
+    return located(docs, id_col, text_col).mapInArrow(run, "v long, lo long, hi long")
 
 
 def runs(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int, shared: Members) -> DataFrame:
-    """(v, doc, pos, hs): minimizer, document, position of the first window and the hashes of the windows of the runs that may be shared."""
+    """(v, doc, pos, hs): minimizer, document, position of the first window and the hashes of the windows of the runs that may be shared.
+
+    A run has at most ``window - anchor + 1`` windows.
+    """
     def run(batches):
-        hashes = WordHashes()
-        for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
-            v, doc, pos, hs, sizes = [], [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
-                if len(words) < window:
-                    continue
-                known = hashes.of(words)
-                least, first = window_runs(known, window, anchor)
-                take = shared.maybe(least)
-                if take.any():
-                    size = np.diff(np.append(first, len(words) - window + 1))
-                    v.append(least[take])
-                    doc.append(np.full(len(v[-1]), i, np.int64))
-                    pos.append(first[take].astype(np.int32))
-                    sizes.append(size[take])
-                    hs.append(window_hashes(known, window)[np.repeat(take, size)])
-            if v:
-                cuts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(hs)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(pos)), lists], names=["v", "doc", "pos", "hs"])
+        known = Hashes()
+        for part in slices(batches):
+            ids = part.column(0).to_numpy()
+            row, at, text, pos, v = windows_of(part.column(1).to_pylist(), known, window, anchor)
+            if not len(v):
+                continue
+            new = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (text[1:] != text[:-1])]))
+            in_run = np.arange(len(v)) - np.repeat(new, np.diff(np.append(new, len(v))))
+            first = np.flatnonzero(in_run % (window - anchor + 1) == 0)
+            size, take = np.diff(np.append(first, len(v))), shared.maybe(v[first])
+            if take.any():
+                hs = sequence_hashes(row, window)[at[np.repeat(take, size)]].view(np.int64)
+                first, size = first[take], size[take]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(hs))
+                yield pa.RecordBatch.from_arrays([pa.array(v[first]), pa.array(ids[text[first]]), pa.array(pos[first].astype(np.int32)), lists], names=["v", "doc", "pos", "hs"])
 
     return located(docs, id_col, text_col).mapInArrow(run, "v long, doc long, pos int, hs array<long>")
 
@@ -145,7 +177,7 @@ def repeated_edges(docs: DataFrame, id_col: str, text_col: str, window: int, anc
 
     A run has at most ``window - anchor + 1`` windows, so its edges of one distance are a small set of bits.
     """
-    count = minimizers(docs, id_col, text_col, window, anchor).groupBy("v").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    count = minimizers(docs, id_col, text_col, window, anchor).groupBy("v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     shared = Members(stage(count.filter("lo < hi").select("v")), "v")
     edges = runs(docs, id_col, text_col, window, anchor, shared).repartition("v").select("v", "doc", "pos", F.posexplode("hs").alias("i", "h"))
     edges = edges.withColumn("src", F.min(F.struct("doc", (C("pos") + C("i")).alias("pos"))).over(W.partitionBy("v", "h"))).filter("src.doc < doc")
@@ -184,17 +216,27 @@ def slice_digests(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str)
     wanted = own.unionByName(source).groupBy("of").agg(F.collect_list(F.struct("at", "n_words", "src_doc", "src_start")).alias("slices"))
 
     def run(batches):
-        for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
-            rows = []
-            for i, text, slices in zip(*(c.to_pylist() for c in batch.columns)):
+        for part in slices(batches):
+            found = part.column(2)
+            size = found.value_lengths().to_numpy()
+            found = found.flatten()
+            at, n_words = found.field(0).to_numpy(), found.field(1).to_numpy()
+            inside, digests, place = np.zeros(len(at), bool), [], 0
+            for text, n in zip(part.column(1).to_pylist(), size.tolist()):
                 words = words_of(text)
-                rows += [(i, s["at"], s["n_words"], s["src_doc"], s["src_start"], digest(words[s["at"]:s["at"] + s["n_words"]])) for s in slices if s["at"] + s["n_words"] <= len(words)]
-            if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc", "start", "n_words", "src_doc", "src_start", "digest"])
-
-    ids = spans.select("doc").union(spans.select("src_doc")).distinct()
-    rows = located(docs, id_col, text_col).filter(may_be_of(ids, "doc_id")).join(wanted, C("doc_id") == C("of"))
+                for k in range(place, place + n):
+                    start, end = int(at[k]), int(at[k]) + int(n_words[k])
+                    if end <= len(words):
+                        inside[k] = True
+                        digests.append(digest(words[start:end]))
+                place += n
+            if digests:
+                own = pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), size)), *(found.field(i) for i in range(4))], names=["doc", "start", "n_words", "src_doc", "src_start"])
+                own = own.filter(pa.array(inside))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(digests, pa.binary())], names=[*own.schema.names, "digest"])
+
+    ids = stage(spans.select("doc").union(spans.select("src_doc")).distinct())
+    rows = told(located(docs, id_col, text_col), ids).filter("_told").join(wanted, C("doc_id") == C("of"))
     return rows.select("doc_id", "text", "slices").mapInArrow(run, "doc long, start int, n_words int, src_doc long, src_start int, digest binary")
 
 
@@ -219,27 +261,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per_doc = stage(verified_spans(docs, spans, id_col, text_col, window).groupBy(C("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "n_words", "digest")).alias("spans")))
 
     def run(batches):
-        for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
+        for part in slices(batches):
             n, removed, kept = [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            size = pc.fill_null(part.column(2).value_lengths(), 0).to_pylist()
+            found, place = part.column(2).flatten(), 0
+            start, n_words, digests = found.field(0).to_numpy(), found.field(1).to_numpy(), found.field(2)
+            for text, spans in zip(part.column(1).to_pylist(), size):
                 words = words_of(text)
                 n.append(len(words))
-                if found:
+                if spans:
                     gone = np.zeros(len(words), bool)
-                    for s in found:
-                        end = s["start"] + s["n_words"]
-                        if end <= len(words) and digest(words[s["start"]:end]) == s["digest"]:
-                            gone[s["start"]:end] = True
+                    for k in range(place, place + spans):
+                        lo, hi = int(start[k]), int(start[k]) + int(n_words[k])
+                        if hi <= len(words) and digest(words[lo:hi]) == digests[k].as_py():
+                            gone[lo:hi] = True
+                    place += spans
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 removed.append(n[-1] - len(words))
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(C(id_col).alias("doc_id"), C(text_col).cast("string").alias("text"), C(id_col).cast("long").alias("_id"))
-    told = own.withColumn("_told", C("_id").isNotNull() & may_be_of(per_doc.select(C("_doc").alias("doc")), "_id"))
-    whole = told.filter(~C("_told")).select("doc_id", "text", F.lit(None).cast(per_doc.schema["spans"].dataType).alias("spans"))
-    cut = told.filter("_told").join(per_doc, C("_id") == C("_doc"), "left").select("doc_id", "text", "spans")
+    own = told(docs.select(C(id_col).alias("doc_id"), C(text_col).cast("string").alias("text")), stage(per_doc.select(C("_doc").alias("doc"))))
+    whole = own.filter("NOT _told").select("doc_id", "text", F.lit(None).cast(per_doc.schema["spans"].dataType).alias("spans"))
+    cut = own.filter("_told").join(per_doc, C("doc_id").cast("long") == C("_doc"), "left").select("doc_id", "text", "spans")
     return whole.unionByName(cut).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, text string")
 
 
