@@ -98,12 +98,12 @@ def _position(taken_before: Column, schedules) -> Column:
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS,
              share: float = SHARE, max_passes: int = MAX_PASSES, schedules=SCHEDULES) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, position (training position of its first pass; null if never taken).
-
-    Range-sorted by position, the untaken first."""
+    """One row per document: doc_id, size, source_size, target, taken, position and positions (training position of its first pass and those of
+    all its passes; null if never taken). Range-sorted by position, the untaken first."""
     placed = _places(docs, id_col, text_col, source_col, weights, share, max_passes, False)
-    first = F.when(C("taken") > 0, _position(C("before"), schedules))
-    rows = placed.select("doc_id", "size", "source_size", "target", "taken", first.alias("position"))
+    last = C("full").cast("long") - F.when(C("part") > 0, 0).otherwise(1)
+    due = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda p: _position(p * C("source_size") + C("before"), schedules))
+    rows = placed.withColumn("positions", F.when(C("taken") > 0, due)).select("doc_id", "size", "source_size", "target", "taken", C("positions")[0].alias("position"), "positions")
     return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
@@ -135,5 +135,12 @@ m AS (SELECT *, max(CASE WHEN cap / weight >= lvl THEN lvl END) OVER () AS water
 t AS (SELECT skey, source_size, CASE WHEN water IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, water * weight) END AS target FROM m),
 p AS (SELECT d.*, source_size, target, floor(target + 0.5)::BIGINT AS take,
   coalesce(sum(size) OVER (PARTITION BY d.skey ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bef FROM d JOIN t ON d.skey = t.skey),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN take // source_size ELSE 0 END AS passes FROM p)
-SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(size, take - passes * source_size - bef)))::BIGINT AS taken FROM q"""
+q AS (SELECT *, CASE WHEN source_size > 0 THEN take // source_size ELSE 0 END AS passes FROM p),
+r AS (SELECT q.*, rnk, greatest(0, least(size, take - passes * q.source_size - bef)) AS part, bef::DOUBLE / nullif(take, 0)::DOUBLE AS f1, (bef + q.source_size)::DOUBLE / nullif(take, 0)::DOUBLE AS f2 FROM q JOIN s USING (skey)),
+x AS (SELECT *, (passes * size + part)::BIGINT AS taken, CASE WHEN size > 0 THEN passes + CASE WHEN part > 0 THEN 1 ELSE 0 END ELSE 0 END AS n FROM r)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN n >= 1 THEN round({f1}, 6) END AS position, CASE WHEN n >= 2 THEN round({f2}, 6) END AS position_2 FROM x"""
+#: The inverse of each schedule's integral, written out.
+_AT = """CASE rnk % 3 WHEN 0 THEN 2 * {f} / (1.5::DOUBLE + sqrt(greatest(0, 2.25::DOUBLE - 2 * {f}))) WHEN 1 THEN 2 * {f} / (1.0::DOUBLE + sqrt(1.0::DOUBLE))
+  ELSE CASE WHEN {f} <= 0.3125 THEN 2 * {f} / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * {f} * 0.5::DOUBLE)) ELSE 0.5::DOUBLE + 2 * ({f} - 0.3125::DOUBLE) / (0.75::DOUBLE + sqrt(0.5625::DOUBLE + 2 * ({f} - 0.3125::DOUBLE) * 2.5::DOUBLE)) END END"""
+for _f in ("f1", "f2"):
+    SQL = SQL.replace("{%s}" % _f, _AT.replace("{f}", _f))

@@ -38,7 +38,9 @@ def _(s, sf): return language_id.identify(table(s, sf, "documents"))
 
 
 @query("op4_mixing", mixing.SQL)
-def _(s, sf): return mixing.plan_mix(table(s, sf, "documents")).drop("position")
+def _(s, sf):
+    at = lambda n: F.round(F.get("positions", F.lit(n)), 6)
+    return mixing.plan_mix(table(s, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", at(0).alias("position"), at(1).alias("position_2"))
 
 
 @query("op5_exact_dedup", exact_dedup.SQL)

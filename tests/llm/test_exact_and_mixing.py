@@ -112,6 +112,10 @@ def test_mix_rows_are_passes_in_order(spark):
     for r in out:
         words[r.doc_id] += len(r.text.split())
     assert {k: v for k, v in plan.items() if v} == dict(words)
+    due = defaultdict(list)
+    for r in out:
+        due[r.doc_id].append(r.mix_position)
+    assert {r.doc_id: r.positions for r in mixing.plan_mix(docs(spark, rows)).collect() if r.taken} == due and any(len(p) == 2 for p in due.values())
     at = [r.mix_position for r in out]
     assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
     early = Counter(r.source for r in out if r.mix_position < 0.3)
