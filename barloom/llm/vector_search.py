@@ -142,6 +142,8 @@ def _search(candidates: DataFrame, queries: DataFrame, turn: np.ndarray, k: int,
                     p = part.iloc[lo:lo + 512]
                     ids = p["vec_id"].to_numpy(np.int64)
                     r, i, found = shard.top(ids, np.stack(p["v"].to_numpy()), p["floor"].to_numpy(np.float64), turn, lead, k)
+                    if not len(r):
+                        continue  # a column without rows has no type
                     score, rough, exact = _said(found)
                     yield pd.DataFrame({"query_row": p["query_row"].to_numpy()[r], "query_id": ids[r], "vec_id": i, "score": score, "rough": rough, "exact": exact})
 
