@@ -109,24 +109,39 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
     return own.mapInArrow(run, f"rep {kind}, set array<long>")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of the undirected links (a, b): the smallest node that each node reaches.
+def between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) between the labels of their ends, each once with a < b; those within one label go."""
+    of = lambda name: labels.select(C("node").alias(name), C("root").alias(f"{name}_root"))
+    ends = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    return ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def labels_of(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the nodes that reach a smaller one by links (a, b): the smallest; ``known`` are such labels by earlier links.
 
-    Labels go down along links, to the ends and to the ends' labels, and then each label is replaced by its own label, until nothing changes.
+    Each node hooks to its smallest neighbour if that is smaller, hooks are followed to their ends, and links go on between these ends only, so that
+    a link of nodes that are one already is met no more. This ends when no link is left.
     """
-    both = stage(links.select("a", "b").unionByName(links.select(C("b").alias("a"), C("a").alias("b"))).distinct())
-    labels = stage(both.groupBy(C("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
-    while True:
-        of = lambda name: labels.select(C("node").alias(name), C("root").alias(f"{name}_root"))
-        ends = both.join(of("a"), "a").join(of("b"), "b")
-        said = ends.select(F.explode(F.array(F.struct(C("a").alias("node"), C("b_root").alias("root")), F.struct(C("a_root").alias("node"), C("b_root").alias("root")))).alias("m")).select("m.*")
-        low = said.unionByName(labels).groupBy("node").agg(F.min("root").alias("root"))
-        jump = stage(low)
-        new = stage(jump.join(jump.select(C("node").alias("root"), C("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")))
-        changed = new.join(labels.select("node", C("root").alias("was")), "node").filter("root <> was").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+    none = links.select(C("a").alias("node"), C("b").alias("root")).limit(0)
+    labels = none if known is None else known
+    edges = stage(between(links, labels))
+    while not edges.isEmpty():
+        hooks = stage(edges.groupBy(C("b").alias("node")).agg(F.min("a").alias("root")))
+        moved = True
+        while moved:
+            further = hooks.select(C("node").alias("root"), C("root").alias("next"))
+            new = stage(hooks.join(further, "root", "left").select("node", F.coalesce("next", "root").alias("root"), C("next").isNotNull().alias("moved")))
+            hooks, moved = new.select("node", "root"), not new.filter("moved").isEmpty()
+        further = hooks.select(C("node").alias("root"), C("root").alias("next"))
+        labels = stage(labels.join(further, "root", "left").select("node", F.coalesce("next", "root").alias("root")).unionByName(hooks))
+        edges = stage(between(edges, hooks))
+    return labels
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of the undirected links (a, b): the smallest node that each node reaches."""
+    labels = labels_of(links)
+    return labels.unionByName(labels.select(C("root").alias("node"), "root").distinct())
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -178,11 +193,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pivot = index.groupBy("value").agg(F.min_by(F.struct("n", "bits"), "rep").alias("p"), F.min("rep").alias("a")).select("value", "a", C("p.n").alias("p_n"), C("p.bits").alias("p_bits"))
     met = index.join(pivot, "value").filter((C("rep") != C("a")) & _may_link("", "p_", percent))
     tested = stage(met.groupBy("rep").agg(F.min("a").alias("a")).select("a", C("rep").alias("b")))
-    links = stage(verified(tested, reps, sets, percent, k, floor))
+    roots = labels_of(stage(verified(tested, reps, sets, percent, k, floor)))
 
     # then a pivot of its own for each list, drawn anew in each round, then all pairs of a list whose ends are still apart
     for draw in (*range(PIVOT_ROUNDS), None):
-        roots = components(links)
         at = index.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", "bits", F.coalesce("root", "rep").alias("root"))
         apart = at.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("rep", F.xxhash64("rep", "value", F.lit(draw or 0))).alias("lead")).filter("lo <> hi")
         left = at.join(apart.select("value", "lead"), "value")
@@ -197,9 +211,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         other = left.select(*key, C("rep").alias("b"), C("n").alias("b_n"), C("root").alias("b_root"), C("bits").alias("b_bits"))
         found = larger.join(other, key).filter(first & (C("root") != C("b_root")) & _may_link("", "b_", percent)).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
         fresh = stage(found.distinct().join(tested, ["a", "b"], "left_anti"))
-        links = stage(links.unionByName(verified(fresh, reps, sets, percent, k, floor)))
+        roots = labels_of(stage(verified(fresh, reps, sets, percent, k, floor)), roots)
         tested = tested.unionByName(fresh)
-    roots = components(links)
 
     out = own.join(classes.select("n", "digest", "rep"), ["n", "digest"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(C("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
