@@ -11,6 +11,7 @@ from barloom.operators.stats import flag_count
 from barloom.operators.timeline import running
 
 C = F.col
+HOT = 200
 
 
 def search_atoms(space: Mapping) -> list[dict]:
@@ -137,18 +138,23 @@ def ancestry(edges: DataFrame, *, id: str = "id", parent: str = "parent_id", max
     """Root and depth of every node by pointer doubling: log2(depth) equi-joins, staged per round.
 
     Every round doubles the distance covered.  A node that still moves after 2^rounds steps
-    lies on a cycle and fails the job.
+    lies on a cycle and fails the job.  Nodes at their root are joined no more; pointers travel by
+    a shuffle, but for those of more than n / HOT nodes, which are fewer than HOT rows.
     """
     from barloom.sources.stage import stage
-    d = stage(edges.select(C(id).alias("id"), F.coalesce(C(parent), C(id)).alias("up"), F.when(C(parent).isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    d = stage(edges.select(C(id).alias("id"), F.coalesce(C(parent), C(id)).alias("up"), F.when(C(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"),
+                           C(parent).isNotNull().alias("moved")))
     n = d.count()
     for i in range(max_rounds):
-        nxt = d.select(C("id").alias("up"), C("up").alias("_up2"), C("depth").alias("_d2"))
-        d2 = stage(d.join(nxt, "up", "left").select("id", F.coalesce("_up2", "up").alias("new_up"), (C("depth") + F.coalesce("_d2", F.lit(0))).alias("depth"),
-                                                    (C("_up2").isNotNull() & (C("_up2") != C("up"))).alias("moved")))
-        moved = d2.agg(F.max("moved")).first()[0]
-        d = d2.select("id", C("new_up").alias("up"), "depth")
-        if not moved:
+        active, nxt = d.filter("moved"), d.select(C("id").alias("up"), C("up").alias("_up2"), C("depth").alias("_d2"))
+        often = stage(active.groupBy("up").count().filter(C("count") > n // HOT).select("up"))
+        common = nxt.join(F.broadcast(often), "up", "left_semi")
+        joined = (active.join(F.broadcast(often), "up", "left_semi").join(F.broadcast(common), "up", "left")
+                  .unionByName(active.join(F.broadcast(often), "up", "left_anti").join(nxt.hint("merge"), "up", "left")))
+        still = C("_up2").isNotNull() & (C("_up2") != C("up"))
+        found = joined.select("id", F.coalesce("_up2", "up").alias("up"), (C("depth") + F.coalesce("_d2", F.lit(0))).alias("depth"), still.alias("moved"))
+        d = stage(d.filter("NOT moved").unionByName(found))
+        if d.filter("moved").isEmpty():
             return d.select("id", C("up").alias("root"), "depth")
         if 2 ** i > 2 * n:
             raise ValueError("cycle in ancestry")
