@@ -3,12 +3,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from barloom.operators.timeline import running
+from barloom.operators.timeline import number_rows, running
 
 C = F.col
 FAN = 64
+PART = 65536  # intervals or instants that one task orders
 
 
 def unique_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -84,6 +87,64 @@ def overlapping_intervals(a: DataFrame, by: Sequence[str], *, id: str, start: st
             .select(*by, "a_id", "b_id"))
 
 
+def _beyond(pos: np.ndarray, rank: np.ndarray, n: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per asking row, the weight ``n`` of rows later in ``pos`` with a higher, and with a lower, rank.
+
+    Ranks are split bit by bit: the first bit in which two ranks differ tells which is higher, so each bit is one stable sort and running sums.
+    """
+    more, less = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64)
+    order = np.argsort(pos, kind="stable")
+    rank = rank - rank.min()
+    for bit in range(int(rank.max()).bit_length()):
+        at = order[np.argsort(rank[order] >> (bit + 1), kind="stable")]
+        group, one = rank[at] >> (bit + 1), (rank[at] >> bit & 1).astype(bool)
+        last = np.searchsorted(group, group, "right") - 1
+        for out, there in ((more, one), (less, ~one)):
+            total = np.cumsum(np.where(there, n[at], 0))
+            out[at] += np.where(there, 0, total[last] - total)
+    return more[asks], less[asks]
+
+
+def overlap_counts(a: DataFrame, by: Sequence[str], *, id: str, start: str, end: str, part: int = PART) -> DataFrame:
+    """(by, id, smaller, larger): with how many intervals of smaller and of larger id each interval overlaps (strict on both ends).
+
+    No pair is formed. Ids are unique per ``by``. Of the intervals with a larger id, those that start at or after my end or end at or before my
+    start are taken off. They are counted over ids in blocks and instants in chunks of ``part`` rows each: within a block by instant, within a
+    chunk by block, and the rest from sums per (chunk, block). So each task orders a bounded number of rows, whatever overlaps.
+    """
+    by = list(by)
+    x = number_rows(a.filter(C(start) < C(end)).select(*by, id, F.unix_micros(start).alias("_s"), F.unix_micros(end).alias("_e")), [*by, id], "_i")
+    # side 0 looks for starts from my end on, side 1 (time reversed) for ends up to my start; a row that asks stands before those at its instant
+    event = lambda side, point, t: F.struct(F.lit(side).alias("side"), F.lit(point).alias("n"), t.alias("t"))
+    events = F.explode(F.array(event(0, 0, C("_e")), event(0, 1, C("_s")), event(1, 0, -C("_s")), event(1, 1, -C("_e"))))
+    e = x.select(*by, "_i", events.alias("_v")).select(*by, "_v.side", "_v.t", C("_v.n").cast("long").alias("n"), "_i")
+    e = number_rows(e, [*by, "side", "t", "n", "_i"], "pos").withColumns({
+        "chunk": F.floor(C("pos") / F.lit(part)).cast("long"), "block": F.floor(C("_i") / F.lit(part)).cast("long")})
+    line = [*by, "side"]
+    # weight of each block in the chunks after a chunk, where it is not 0: it changes only at chunks that hold the block
+    cells = e.filter("n = 1").groupBy(*line, "block", "chunk").agg(F.sum("n").alias("n"))
+    in_block = W.partitionBy(*line, "block").orderBy("chunk")
+    cells = cells.join(e.groupBy(*line).agg(F.min("chunk").alias("first")).withColumnsRenamed({c: f"_l_{c}" for c in line}),
+                       [C(c).eqNullSafe(C(f"_l_{c}")) for c in line]).select(
+        *line, "block", "chunk", F.coalesce(F.lag("chunk").over(in_block), C("first")).alias("from"),
+        F.sum("n").over(in_block.rowsBetween(0, W.unboundedFollowing)).alias("n"))
+    after = cells.filter("from < chunk").withColumn("part", F.explode(F.sequence("from", C("chunk") - 1)))
+    none = F.lit(None).cast("long")
+    rows = (e.select(*line, F.lit("block").alias("kind"), C("block").alias("part"), "pos", C("_i").alias("rank"), "n", "_i")
+            .unionByName(e.select(*line, F.lit("chunk").alias("kind"), C("chunk").alias("part"), "pos", C("block").alias("rank"), "n", "_i"))
+            .unionByName(after.select(*line, F.lit("chunk").alias("kind"), "part", F.lit((1 << 63) - 1).alias("pos"), C("block").alias("rank"), "n", none.alias("_i"))))
+
+    def count(d: pd.DataFrame) -> pd.DataFrame:
+        asks = (d["n"] == 0).to_numpy()
+        more, less = _beyond(d["pos"].to_numpy(), d["rank"].to_numpy(), d["n"].to_numpy(), asks)
+        return pd.DataFrame({"_i": d["_i"][asks].astype("int64"), "more": more, "less": less})
+
+    apart = rows.groupBy(*line, "kind", "part").applyInPandas(count, "_i long, more long, less long").groupBy("_i").agg(F.sum("more").alias("_more"), F.sum("less").alias("_less"))
+    group = x.groupBy(*by).agg(F.min("_i").alias("_first"), F.count("*").alias("_n")).withColumnsRenamed({c: f"_g_{c}" for c in by})
+    d = x.join(apart, "_i").join(group, [C(c).eqNullSafe(C(f"_g_{c}")) for c in by])
+    return d.select(*by, id, (C("_i") - C("_first") - C("_less")).alias("smaller"), (C("_first") + C("_n") - 1 - C("_i") - C("_more")).alias("larger"))
+
+
 def concurrent_trades(trades: DataFrame, *, start: str = "entry_ts", end: str = "exit_ts", group: str = "symbol") -> DataFrame:
     """Per trade, how many trades of other groups overlap it (strict on both ends).
 
