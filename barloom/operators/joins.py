@@ -2,12 +2,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.operators.timeline import number_rows, running
+from barloom.sources.stage import stage
 
 C = F.col
 FAN = 64
@@ -61,6 +63,72 @@ def range_join(points: DataFrame, ranges: DataFrame, by: Sequence[str], *, ts: s
     return p.join(r, [*by, "_b"]).filter((C(ts) >= C(start)) & (C(ts) < C(end))).drop("_b")
 
 
+def range_summary(points: DataFrame, ranges: DataFrame, by: Sequence[str], value: str, *, ts: str, start: str, end: str, part: int = PART) -> DataFrame:
+    """(columns of ``ranges``, n, high): how many points lie in each half-open range and their highest value; ranges without points are left out.
+
+    No (point, range) pair is formed. Points and the ends of ranges meet in one order by instant, cut into chunks of ``part`` rows. A range within
+    a chunk is answered there; a longer one from what its end chunks hold of it and from maxima over 1, 2, 4, ... chunks between them.
+    """
+    by, kept = list(by), ranges.columns
+    known = lambda *cols: reduce(lambda a, b: a & b, [C(c).isNotNull() for c in [*by, *cols]])
+    r = stage(ranges.filter((C(start) < C(end)) & known(start, end)).withColumn("_r", F.monotonically_increasing_id()))
+    none = F.lit(None).cast("long")
+    # an end of a range stands before the points at its instant; kind 0 starts, 1 ends, 2 is a point
+    ends = F.explode(F.array(*[F.struct(F.unix_micros(c).alias("t"), F.lit(k).alias("kind")) for k, c in enumerate((start, end))]))
+    e = (r.select(*by, "_r", ends.alias("_v")).select(*by, "_v.*", "_r", F.lit(None).cast("double").alias("v"))
+         .unionByName(points.filter(known(ts)).select(*by, F.unix_micros(ts).alias("t"), F.lit(2).alias("kind"), none.alias("_r"), C(value).cast("double").alias("v"))))
+    e = number_rows(e, [*by, "t", "kind", "_r", "v"], "pos").withColumns({
+        "chunk": F.floor(C("pos") / F.lit(part)).cast("long"), "valued": C("v").isNotNull().cast("long"), "nans": F.coalesce(F.isnan("v"), F.lit(False)).cast("long")})
+    counts = ("n", "valued", "nans")  # NaN is the highest value, and pandas takes it for null
+
+    def within(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("pos")
+        kind, v, chunk = d["kind"].to_numpy(), d["v"].to_numpy(), d["chunk"].iloc[0]
+        point = kind == 2
+        v = np.where(np.isnan(v), -np.inf, v)
+        before = {"n": np.r_[0, np.cumsum(point)]} | {c: np.r_[0, np.cumsum(d[c].to_numpy())] for c in counts[1:]}
+        tops = [v]
+        while 2 << len(tops) <= 2 * len(v):
+            half = 1 << (len(tops) - 1)
+            tops.append(np.maximum(tops[-1][:-half], tops[-1][half:]))
+        marks = d[~point].assign(at=np.flatnonzero(~point)).pivot(index="_r", columns="kind", values="at").reindex(columns=[0, 1])
+        first, last = marks[0].isna().to_numpy(), marks[1].isna().to_numpy()
+        lo, hi = marks[0].fillna(0).to_numpy(np.int64), marks[1].fillna(len(v)).to_numpy(np.int64)
+        high, level = np.full(len(lo), -np.inf), np.frexp(np.maximum(hi - lo, 1))[1] - 1
+        for k in np.unique(level):
+            at = (level == k) & (hi > lo)
+            high[at] = np.maximum(tops[k][lo[at]], tops[k][hi[at] - (1 << k)])
+        return pd.DataFrame({"_r": marks.index.to_numpy(np.int64), **{c: b[hi] - b[lo] for c, b in before.items()}, "high": high,
+                             "from": pd.Series(np.where(last, chunk + 1, -1)), "to": pd.Series(np.where(first, chunk, -1))})
+
+    parts = e.groupBy(*by, "chunk").applyInPandas(within, "_r long, n long, valued long, nans long, high double, from long, to long")
+    parts = parts.groupBy("_r").agg(*[f(c).alias(c) for f, c in (*((F.sum, c) for c in counts), (F.max, "high"), (F.max, "from"), (F.max, "to"))])
+    d = stage(r.join(parts, "_r"))
+    # chunks between: numbered without holes per key, so leads reach 1, 2, 4, ... chunks on
+    sums = e.groupBy(*by, "chunk").agg(F.sum((C("kind") == 2).cast("long")).alias("n"), F.sum("valued").alias("valued"), F.sum("nans").alias("nans"),
+                                           F.coalesce(F.max(F.when(C("nans") == 0, C("v"))), F.lit(float("-inf"))).alias("_0"))
+    line = W.partitionBy(*by).orderBy("chunk")
+    before = line.rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumns({f"_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in counts})
+    levels = max(1, sums.groupBy(*by).count().agg(F.max("count")).first()[0] or 1).bit_length()
+    for k in range(1, levels):
+        sums = sums.withColumn(f"_{k}", F.greatest(f"_{k - 1}", F.coalesce(F.lead(f"_{k - 1}", 1 << (k - 1)).over(line), F.lit(float("-inf")))))
+    sums = stage(sums.select(*by, "chunk", *[f"_{c}" for c in counts], F.array(*[C(f"_{k}") for k in range(levels)]).alias("tops")))
+    far = C("from") < C("to")
+    level = F.floor(F.log2((C("to") - C("from") + F.lit(0.5)))).cast("int")
+    at = lambda tag, key: (sums.select(*[C(c).alias(f"_{tag}_{c}") for c in by], C("chunk").alias(f"_{tag}_chunk"), F.struct(*[f"_{c}" for c in counts], "tops").alias(tag)),
+                           reduce(lambda a, b: a & b, [C(c) == C(f"_{tag}_{c}") for c in by]) & (C(key) == C(f"_{tag}_chunk")))
+    d = d.withColumns({"_k": F.when(far, level), "_a": F.when(far, C("from")), "_z": F.when(far, C("to")), "_m": F.when(far, C("to") - F.pow(F.lit(2), level).cast("long"))})
+    long = d.filter(far)
+    for tag, key in (("lo", "_a"), ("hi", "_z"), ("mid", "_m")):
+        long = long.join(*at(tag, key))
+    long = long.withColumns({c: C(c) + C(f"hi._{c}") - C(f"lo._{c}") for c in counts} | {
+                             "high": F.greatest("high", F.get("lo.tops", "_k"), F.get("mid.tops", "_k"))})
+    cols = [*kept, *counts, "high"]
+    out = d.filter(~far).select(*cols).unionByName(long.select(*cols)).filter("n > 0")
+    return out.select(*kept, "n", F.when(C("nans") > 0, float("nan")).when(C("valued") > 0, C("high")).alias("high"))
+
+
 def intervals_with_points(gaps: DataFrame, points: DataFrame, by: Sequence[str], *, lo: str, hi: str, ts: str = "ts") -> DataFrame:
     """Flag intervals that strictly contain a point, by comparing running point counts at both ends."""
     p = points.select(*by, C(ts).alias("_t")).distinct()
