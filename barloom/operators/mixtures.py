@@ -1,8 +1,8 @@
 """Gaussian mixtures with full covariances, fitted by expectation maximisation over the whole table.
 
 Any number of mixtures (starts, component counts, seeds, slices of the table) advance in the same passes. A pass reads the staged vectors once:
-each task sums responsibilities, first and second moments in Arrow batches, and the sums of the parts are added over a tree; what reaches the
-driver is components x dimensions^2 numbers per mixture, whatever the number of rows. Second moments are taken about the components' current
+each task sums responsibilities, first and second moments in Arrow batches, and the sums of the parts are added on the executors; what reaches the
+driver is components x dimensions^2 / 2 numbers per mixture and pass, whatever the number of rows and parts. Second moments are taken about the components' current
 means, so that no digits cancel. Covariances get a floor on their diagonal, which keeps starved components regular.
 
 Starts come from k-means: centres are drawn by k-means++ from a bounded sample of the vectors, those of the smallest hash, and moved over all of them.
@@ -27,7 +27,6 @@ TOLERANCE = 1e-3
 CENTRE_ROUNDS = 30
 SEED_ROWS = 4096  # sample from which first centres are drawn
 BATCH = 4096  # rows at a time
-FAN = 16  # parts that are added together
 
 
 @dataclass
@@ -74,17 +73,22 @@ def responsibilities(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _moments(x: np.ndarray, r: np.ndarray, about: np.ndarray, log_sum: float) -> np.ndarray:
-    """log-likelihood, rows, then per component: weight, hard count, first and second moments about ``about``."""
+    """log-likelihood, rows, then per component: weight, hard count, first and second moments (one triangle) about ``about``."""
     hard = np.bincount(r.argmax(1), minlength=r.shape[1])
+    upper = np.triu_indices(x.shape[1])
     parts = [np.array([log_sum, len(x)]), r.sum(0), hard]
     for j, m in enumerate(about):
         y = x - m
-        parts += [r[:, j] @ y, ((y * r[:, j:j + 1]).T @ y).ravel()]
+        parts += [r[:, j] @ y, ((y * r[:, j:j + 1]).T @ y)[upper]]
     return np.concatenate(parts)
 
 
 def _pass(rows: DataFrame, width: Sequence[int], sums) -> list[np.ndarray]:
-    """Sums of all rows, one array per mixture; ``sums(x, slices)`` gives those of a batch. Parts are added in the order of their numbers."""
+    """Sums of all rows, one array per mixture; ``sums(x, slices)`` gives those of a batch.
+
+    There are as many parts as cores at most. Each mixture's sums of the parts are added on the executors, in the order of the parts' numbers, so the
+    driver gets one array per mixture, whatever the number of rows and parts.
+    """
     def per_part(batches):
         from pyspark import TaskContext
 
@@ -95,28 +99,32 @@ def _pass(rows: DataFrame, width: Sequence[int], sums) -> list[np.ndarray]:
                 x = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
                 for t, s in zip(total, sums(x, b.column(1).to_numpy(zero_copy_only=False))):
                     t += s
-        yield _packed(TaskContext.get().partitionId(), total)
+        part = TaskContext.get().partitionId()
+        for i, s in enumerate(total):
+            yield _packed(i, part, s)
 
     def added(batches):
-        parts = sorted((p, s) for b in batches for p, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        if parts:
-            total = np.frombuffer(parts[0][1]).copy()
-            for _, s in parts[1:]:
-                total += np.frombuffer(s)
-            yield _packed(parts[0][0], [total])
+        at, total = None, None
+        for b in batches:
+            for i, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if i == at:
+                    total += np.frombuffer(s)
+                    continue
+                if at is not None:
+                    yield _packed(at, 0, total)
+                at, total = i, np.frombuffer(s).copy()
+        if at is not None:
+            yield _packed(at, 0, total)
 
-    parts, n = rows.mapInArrow(per_part, "part int, sums binary"), rows.rdd.getNumPartitions()
-    while n > FAN * 4:
-        n = -(-n // FAN)
-        parts = parts.repartitionById(n, (C("part") % n).cast("int")).mapInArrow(added, "part int, sums binary")
-    total = np.zeros(sum(width))
-    for r in sorted(parts.collect(), key=lambda r: r["part"]):
-        total += np.frombuffer(r["sums"])
-    return np.split(total, np.cumsum(width)[:-1])
+    kind, cores = "mixture int, part int, sums binary", rows.sparkSession.sparkContext.defaultParallelism
+    parts = rows.coalesce(cores).mapInArrow(per_part, kind)
+    parts = parts.repartition(min(len(width), cores), "mixture").sortWithinPartitions("mixture", "part").mapInArrow(added, kind)
+    found = {r["mixture"]: np.frombuffer(r["sums"]) for r in parts.collect()}
+    return [found.get(i, np.zeros(w)) for i, w in enumerate(width)]
 
 
-def _packed(part: int, sums: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.concatenate(sums).tobytes()], pa.binary())], names=["part", "sums"])
+def _packed(mixture: int, part: int, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([mixture], pa.int32()), pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["mixture", "part", "sums"])
 
 
 def first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -134,13 +142,15 @@ def maximise(m: Mixture, sums: np.ndarray, about: np.ndarray, floor: float) -> N
     """New weights, means and covariances from the sums of a pass."""
     k, d = about.shape
     weight = sums[2:2 + k] + 10 * np.finfo(float).eps
-    moments = sums[2 + 2 * k:].reshape(k, d + d * d)
+    moments = sums[2 + 2 * k:].reshape(k, d + d * (d + 1) // 2)
     shift = moments[:, :d] / weight[:, None]
-    second = moments[:, d:].reshape(k, d, d) / weight[:, None, None]
+    i, j = np.triu_indices(d)
+    second = np.empty((k, d, d))
+    second[:, i, j] = second[:, j, i] = moments[:, d:] / weight[:, None]
     m.rows = int(sums[1])
     m.means = about + shift
     m.covariances = second - shift[:, :, None] * shift[:, None, :]
-    m.covariances = (m.covariances + m.covariances.transpose(0, 2, 1)) / 2 + floor * np.eye(d)
+    m.covariances = m.covariances + floor * np.eye(d)
     m.weights = weight / weight.sum()
 
 
@@ -163,7 +173,7 @@ def fit_all(rows: DataFrame, wanted: Sequence[Mixture], *, floor: float = FLOOR,
         if len(first[m.slice]) < m.k:
             raise ValueError("a mixture needs at least as many rows as components")
     d = next(iter(first.values())).shape[1]
-    width = lambda m: 2 + 2 * m.k + m.k * (d + d * d)
+    width = lambda m: 2 + 2 * m.k + m.k * (d + d * (d + 1) // 2)
     own = lambda m, x, s: x if m.slice is None else x[s == m.slice]
 
     # centres, over all rows

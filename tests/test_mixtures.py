@@ -82,3 +82,22 @@ def test_registered_mixtures_run_with_all_settings(spark, name, rows):
     assert len(got) == rows
     if name != "j10_label_stability":
         assert all(np.isfinite(r.bic) and r.n == 500 for r in got)
+
+
+def test_driver_gets_one_sum_per_mixture_whatever_the_parts(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    got, plain = [], DataFrame.collect
+
+    def collect(d):
+        rows = plain(d)
+        got.extend(len(r["sums"]) for r in rows if "sums" in d.columns)
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", collect)
+    sent = []
+    for parts in (2, 40):
+        got.clear()
+        X.fit_all(X.vectors(table(spark, blobs(80), parts), V).repartition(parts), [X.Mixture(2, 1), X.Mixture(3, 1)], max_iter=1, tol=0.0)
+        sent.append(sorted(got)[-2:])  # the largest sums: moments of both mixtures
+        assert sum(n == max(got) for n in got) == 3  # one per pass over moments
+    assert sent[0] == sent[1]
