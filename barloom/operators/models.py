@@ -56,8 +56,11 @@ def fit_boosted_regression(encoded: DataFrame, numeric: Sequence[str], categoric
 
     Every categorical input stays categorical, whatever its number of codes (``maxBins`` grows with
     the widest one), and every numeric input stays a number, however few values it has.
+
+    Rows with equal inputs are one weighted row with their mean target: squared error has the same gradients, gains and leaves on both. A node's
+    least number of rows becomes a least weight, so it still counts rows. Medians come from all rows.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler, VectorIndexer
     from pyspark.ml.regression import GBTRegressor
     safe = {c: f"n{i}" for i, c in enumerate(numeric)} | {c: f"c{i}" for i, c in enumerate(categorical)}
@@ -76,9 +79,18 @@ def fit_boosted_regression(encoded: DataFrame, numeric: Sequence[str], categoric
         stages += [VectorAssembler(inputCols=[safe[c] for c in categorical], outputCol="codes"),
                    VectorIndexer(inputCol="codes", outputCol="categories", maxCategories=max(2, int(codes)), handleInvalid="keep")]
         inputs = [*inputs, "categories"]
-    stages += [VectorAssembler(inputCols=inputs, outputCol="features"),
-               GBTRegressor(labelCol="y", featuresCol="features", predictionCol="predicted", **{**BOOST, "maxBins": bins, **settings})]
-    model = Pipeline(stages=stages).fit(observed)
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
+    prepared = Pipeline(stages=stages).fit(observed)
+    cells = stage(observed.groupBy(*[C(f"`{c}`") for c in safe]).agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("rows")))
+    settings = {**BOOST, "maxBins": bins, **settings}
+    # weights are whole, so half a row below the least number tells the same nodes apart
+    rows, least = cells.agg(F.sum("rows")).first()[0] or 0, settings.pop("minInstancesPerNode")
+    if rows < 2 * least:
+        settings["maxDepth"] = 0
+    elif least > 1:
+        settings["minWeightFractionPerNode"] = (least - 0.5) / rows
+    boosted = GBTRegressor(labelCol="y", featuresCol="features", predictionCol="predicted", weightCol="rows", **settings).fit(prepared.transform(cells))
+    model = PipelineModel([*prepared.stages, boosted])
     model_inputs = [*numeric, *[f"{c} is missing" for c in numeric], *categorical]
     return model, model_inputs
 
