@@ -121,8 +121,8 @@ def feature_clues(spark, model, inputs: Sequence[str]) -> DataFrame:
 def evaluate_regression(d: DataFrame, by: Sequence[str] = ("model",), actual: str = "y", predicted: str = "predicted") -> DataFrame:
     """Residual statistics, R2, Pearson and average-rank Spearman; constant inputs give null.
 
-    Spearman pairs are counted by distinct (actual, predicted), and ranks come from
-    distinct values, so ties never form a large group.
+    Rows are counted once by distinct (actual, predicted); ranks and medians come from these cells
+    and their distinct values, so ties never form a large group and copies cost nothing.
     """
     by = list(by)
     p = d.filter(C(actual).isNotNull()).select(*by, C(actual).cast("double").alias("a"), C(predicted).cast("double").alias("p"))
@@ -136,13 +136,14 @@ def evaluate_regression(d: DataFrame, by: Sequence[str] = ("model",), actual: st
     g = g.withColumns({"root_mean_squared_error": F.sqrt("mean_squared_error"), "r_squared": F.when(C("_va") > 0, 1 - C("mean_squared_error") / C("_va")),
                        "pearson": F.when(~flat, C("_c"))}).drop("_va", "_vp", "_c")
     # one rank pass for all four series
+    cells = stage(p.groupBy(*by, "a", "p").agg(F.count("*").alias("w")))
     medians = {"a": "actual_median", "p": "prediction_median", "r": "residual_median", "abs_r": "median_absolute_error"}
-    series = F.explode(F.array(*[F.struct(F.lit(c).alias("series"), C(c).alias("value")) for c in medians]))
-    ranks = stage(value_ranks(p.select(*by, series.alias("_s")).select(*by, "_s.series", "_s.value"), [*by, "series"], "value"))
+    error = {"r": C("p") - C("a"), "abs_r": F.abs(C("p") - C("a"))}
+    series = F.explode(F.array(*[F.struct(F.lit(c).alias("series"), error.get(c, C(c)).alias("value")) for c in medians]))
+    ranks = stage(value_ranks(cells.select(*by, "w", series.alias("_s")).select(*by, "w", "_s.series", "_s.value"), [*by, "series"], "value", {"n": C("w")}))
     middle = ranks.groupBy(*by, "series").agg(rank_quantile(0.5).alias("m"))
     g = join_ns(g, middle.groupBy(*by).agg(*[F.max(F.when(C("series") == c, C("m"))).alias(name) for c, name in medians.items()]), by)
     rank = lambda v: ranks.filter(C("series") == v).select(*by, C("_v").alias(v), (C("lt_n") + (C("n") + 1) / 2).alias(f"rank_{v}"))
-    cells = p.groupBy(*by, "a", "p").agg(F.count("*").alias("w"))
     cells = join_ns(join_ns(cells, rank("a"), [*by, "a"]), rank("p"), [*by, "p"])
     n, x, y, w = F.sum("w"), C("rank_a"), C("rank_p"), C("w")
     mx, my = F.sum(w * x) / n, F.sum(w * y) / n
